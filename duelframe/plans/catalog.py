@@ -1,4 +1,4 @@
 """All registered queries (importing a module registers its queries)."""
 
-from . import q_history  # noqa: F401
+from . import q_history, q_ingest, q_parse  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
