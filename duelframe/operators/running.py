@@ -56,32 +56,33 @@ def ranked_histogram(df: DataFrame, keys: list[str], value: str, bucket: Column,
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
     offsets = totals.select(
         *keys, "_b",
-        *[F.coalesce(F.sum(n).over(before(by_key)), F.lit(0)).alias(f"_{n}_off") for n in measures],
+        *[F.coalesce(F.sum(n).over(before(by_key)), F.lit(0)).alias(f"_{n}__off") for n in measures],
         *[F.sum(n).over(whole).alias(f"{n}_all") for n in measures])
     in_block = W.partitionBy(*keys, "_b").orderBy(value)
-    local = hist.select("*", *[F.coalesce(F.sum(n).over(before(in_block)), F.lit(0)).alias(f"_{n}_in")
+    local = hist.select("*", *[F.coalesce(F.sum(n).over(before(in_block)), F.lit(0)).alias(f"_{n}__in")
                                for n in measures])
     joined = local.join(offsets, [*keys, "_b"])
     return joined.select(
         *keys, value, *measures,
-        *[(F.col(f"_{n}_in") + F.col(f"_{n}_off")).alias(f"{n}_below") for n in measures],
+        *[(F.col(f"_{n}__in") + F.col(f"_{n}__off")).alias(f"{n}_below") for n in measures],
         *[f"{n}_all" for n in measures])
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 bucket_width: float = 1.0) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", bucket_width: float = 1.0,
+                 n: str | None = None) -> DataFrame:
     """Exact interpolating median per group (mean of the two middle values for even counts).
 
     Rank selection over the value histogram: the middle ranks are found from running counts, so a
-    group is never collected. NULL values are ignored.
+    group is never collected. NULL values are ignored; `n` names a weight column, if the input is
+    already counted.
     """
     present = df.filter(F.col(value).isNotNull())
-    hist = ranked_histogram(present, keys, value, F.floor(F.col(value) / F.lit(bucket_width)),
-                            {"n": F.count(F.lit(1))})
-    lower, upper = F.floor((F.col("n_all") + 1) / 2), F.floor((F.col("n_all") + 2) / 2)
+    weight = F.sum(n) if n else F.count(F.lit(1))
+    hist = ranked_histogram(present, keys, value, F.floor(F.col(value) / F.lit(bucket_width)), {"_n": weight})
+    lower, upper = F.floor((F.col("_n_all") + 1) / 2), F.floor((F.col("_n_all") + 2) / 2)
 
     def holds(rank: Column) -> Column:
-        return (rank > F.col("n_below")) & (rank <= F.col("n_below") + F.col("n"))
+        return (rank > F.col("_n_below")) & (rank <= F.col("_n_below") + F.col("_n"))
 
     return hist.groupBy(*keys).agg(
         ((F.max(F.when(holds(lower), F.col(value))) + F.max(F.when(holds(upper), F.col(value)))) / 2).alias(out))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.history import COUNTS, RATES, OPP_STATS, OWN_STATS
-from .views import MIN_DATE, SLATE_BOUTS, TRAIN_END, VALID_END
+from .views import MIN_DATE, SLATE_BLOCK, TRAIN_END, VALID_END
 
 _OUT = {
     "contests": "1", "wins": "(outcome = 'win')::INT", "losses": "(outcome = 'loss')::INT",
@@ -37,8 +37,8 @@ VIEWS["contest"] = (["contest0"], f"""SELECT * EXCLUDE (larger_id, larger_rf),
   CASE larger_rf WHEN 'A' THEN 'ko_tko' WHEN 'N' THEN 'submission' ELSE 'decision' END AS finish_group,
   result = 'win' AND NOT is_prior AS is_target,
   row_number() OVER (PARTITION BY event_date ORDER BY contest_id)::INT AS bout_order FROM contest0""")
-VIEWS["slated"] = (["contest"], f"""SELECT *, strftime(event_date, '%Y%m%d') || '-' || ((bout_order - 1) // {SLATE_BOUTS})::VARCHAR AS event_id,
-  ((bout_order - 1) % {SLATE_BOUTS} + 1)::INT AS bout_no FROM contest""")
+VIEWS["slated"] = (["contest"], f"""SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY contest_id)::INT AS bout_no FROM
+  (SELECT *, strftime(event_date, '%Y%m%d') || '-' || (contest_id // {SLATE_BLOCK})::VARCHAR AS event_id FROM contest)""")
 VIEWS["stats"] = (["ranked"], """SELECT r.* EXCLUDE (rn), sum(td_attempted) OVER (PARTITION BY contest_id)::BIGINT * 60 AS duration_sec,
   (sum(entity_id) OVER (PARTITION BY contest_id) - entity_id)::BIGINT AS opponent_id
   FROM ranked r WHERE contest_id % 17 <> 0 QUALIFY count(*) OVER (PARTITION BY contest_id) = 2""")

@@ -52,8 +52,10 @@ def _(spark, d):
     return I.build_events(S.meetings(spark, d), S.TODAY, S.LOADED_AT).agg(F.count(F.lit(1)).alias("events"), F.max("event_date").alias("last_day"))
 
 
+# Both bio files lack an entity whose key is divisible by 11 and 13: such names stay unmatched.
+_UNNAMED = "(entity_1_id % 143 = 0 OR (entity_2_id % 143 = 0 AND contest_id % 73 <> 0))"
 _CAUSE = f"""CASE WHEN contest_id % 101 = 0 THEN 'no contest id' WHEN NOT {_PLACED} THEN 'event not in' WHEN copy = 2 THEN 'duplicate'
-  WHEN contest_id % 83 = 0 THEN 'cannot split' WHEN contest_id % 79 = 0 THEN 'name unmatched' WHEN contest_id % 73 = 0 THEN 'both names'
+  WHEN contest_id % 83 = 0 THEN 'cannot split' WHEN contest_id % 79 = 0 OR {_UNNAMED} THEN 'name unmatched' WHEN contest_id % 73 = 0 THEN 'both names'
   WHEN contest_id % 71 = 0 THEN 'unknown outcome' WHEN contest_id % 67 = 0 THEN 'parse error' END"""
 _COPIES = """copies AS (SELECT *, 0 AS copy FROM slated UNION ALL SELECT *, 1 FROM slated WHERE contest_id % 97 = 0 UNION ALL SELECT *, 2 FROM slated WHERE contest_id % 89 = 0)"""
 
@@ -68,10 +70,6 @@ def _(spark, d):
     return bad.groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Both bio files lack an entity when its key is divisible by 11 and 13: such names stay unmatched.
-_NAMED = "(entity_1_id % 143 <> 0 AND entity_2_id % 143 <> 0)"
-
-
 @query("bout_sequence", sql(f"""SELECT {_HEX.format('contest_id')} AS contest_id, row_number() OVER (PARTITION BY event_id ORDER BY contest_id)::INT AS bout_order
   FROM slated WHERE contest_id % 101 <> 0 AND {_PLACED}""", "slated"))
 def _(spark, d):
@@ -82,18 +80,23 @@ def _(spark, d):
 @query("unique_key_join", sql("""SELECT event, bout_key, contest_id FROM (SELECT 'Slate ' || event_id AS event, entity_1_id || ' v ' || entity_2_id AS bout_key, lower(to_hex(min(contest_id))) AS contest_id,
   count(DISTINCT contest_id) AS n FROM slated GROUP BY 1, 2) WHERE n = 1""", "slated"))
 def _(spark, d):
-    c = V.slate_columns(V.contests(spark, d))
+    c = V.slate_columns(V.contests(spark, d, False))
     r = c.select(F.concat(F.lit("Slate "), "event_id").alias("event"), F.concat("entity_1_id", F.lit(" v "), "entity_2_id").alias("bout"),
                  F.concat(F.lit("/fight-details/"), F.lower(F.hex("contest_id"))).alias("url"))
     return I.bout_keys(r).withColumnRenamed("bout", "bout_key")
 
 
 _KEPT = f"""kept AS (SELECT * FROM slated WHERE contest_id % 101 <> 0 AND {_PLACED} AND contest_id % 83 <> 0 AND contest_id % 79 <> 0 AND contest_id % 73 <> 0
-  AND contest_id % 71 <> 0 AND contest_id % 67 <> 0),
+  AND contest_id % 71 <> 0 AND contest_id % 67 <> 0 AND NOT {_UNNAMED}),
   keyed AS (SELECT k.*, count(*) OVER (PARTITION BY event_id, entity_1_id, entity_2_id) AS same_key FROM slated k
     WHERE contest_id % 101 <> 0 AND contest_id % 83 <> 0 AND contest_id % 79 <> 0 AND contest_id % 73 <> 0),
   rr AS (SELECT l_orderkey, l_suppkey, l_linenumber, sum(l_quantity)::INT AS a, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END)::INT AS l,
-    count(*) FILTER (l_returnflag = 'A') AS kd, max(l_linestatus) AS st FROM lineitem GROUP BY 1, 2, 3)"""
+    count(*) FILTER (l_returnflag = 'A') AS kd, max(l_linestatus) AS st FROM lineitem GROUP BY 1, 2, 3),
+  listed AS (SELECT k.contest_id, s.contest_id AS src, l_suppkey, rr.* EXCLUDE (l_orderkey, l_suppkey) FROM kept k JOIN keyed y ON y.contest_id = k.contest_id AND same_key = 1
+    JOIN slated s ON s.event_id = k.event_id AND s.entity_1_id = k.entity_1_id AND s.entity_2_id = k.entity_2_id
+      AND s.contest_id % 83 <> 0 AND s.contest_id % 79 <> 0 AND s.contest_id % 73 <> 0
+    JOIN rr ON l_orderkey = s.contest_id AND l_suppkey IN (k.entity_1_id, k.entity_2_id)
+    QUALIFY row_number() OVER (PARTITION BY k.contest_id, l_suppkey, l_linenumber ORDER BY s.contest_id) = 1)"""
 
 
 def _built(spark, d):
@@ -101,18 +104,15 @@ def _built(spark, d):
     return tables, rejected
 
 
-@query("round_totals", sql(f"""WITH {_KEPT} SELECT lower(to_hex(k.contest_id)) AS contest_id, lower(to_hex(l_suppkey)) AS entity_id, sum(l)::DOUBLE AS landed, sum(a)::DOUBLE AS attempted,
-  sum(kd)::DOUBLE AS kd, sum(CASE WHEN st <> 'F' THEN l END)::DOUBLE AS td_landed, CASE WHEN k.contest_id % 4 <> 0 THEN sum(l_linenumber) END::DOUBLE AS ctrl_sec
-  FROM kept k JOIN keyed y ON y.contest_id = k.contest_id AND same_key = 1 JOIN rr ON l_orderkey = k.contest_id AND l_suppkey IN (k.entity_1_id, k.entity_2_id)
-  GROUP BY k.contest_id, l_suppkey""", "slated"))
+@query("round_totals", sql(f"""WITH {_KEPT} SELECT lower(to_hex(contest_id)) AS contest_id, lower(to_hex(l_suppkey)) AS entity_id, sum(l)::DOUBLE AS landed, sum(a)::DOUBLE AS attempted,
+  sum(kd)::DOUBLE AS kd, sum(CASE WHEN st <> 'F' THEN l END)::DOUBLE AS td_landed, sum(CASE WHEN src % 4 <> 0 THEN l_linenumber END)::DOUBLE AS ctrl_sec
+  FROM listed GROUP BY listed.contest_id, l_suppkey""", "slated"))
 def _(spark, d):
     tables, _ = _built(spark, d)
     return tables["stats"].select("contest_id", "entity_id", "landed", "attempted", "kd", "td_landed", "ctrl_sec")
 
 
-@query("name_within_group_join", sql(f"""WITH {_KEPT} SELECT lower(to_hex(k.contest_id)) AS contest_id, lower(to_hex(l_suppkey)) AS entity_id, count(*) AS rounds
-  FROM kept k JOIN keyed y ON y.contest_id = k.contest_id AND same_key = 1 JOIN rr ON l_orderkey = k.contest_id AND l_suppkey IN (k.entity_1_id, k.entity_2_id)
-  GROUP BY ALL""", "slated"))
+@query("name_within_group_join", sql(f"""WITH {_KEPT} SELECT lower(to_hex(contest_id)) AS contest_id, lower(to_hex(l_suppkey)) AS entity_id, count(*) AS rounds FROM listed GROUP BY ALL""", "slated"))
 def _(spark, d):
     from ..functions.names import normalize_name
     src = S.sources(spark, d)
@@ -311,7 +311,7 @@ def _(spark, d):
 # ------------------------------------------------------------------ data checks
 
 def _typed_tables(spark, d):
-    c = V.slate_columns(V.contests(spark, d))
+    c = V.slate_columns(V.contests(spark, d, False))
     c = c.withColumn("has_stats", F.col("has_stats") & ~F.col("is_prior"))
     events = c.filter("not is_prior").groupBy("event_id").agg(F.min("event_date").alias("event_date"))
     stats = V.stats(spark, d).join(c.filter("not is_prior").select("contest_id"), "contest_id", "left_semi")

@@ -10,7 +10,7 @@ from ..operators import matchup as M
 from ..operators.running import sequence_in_group
 
 TRAIN_END, VALID_END, MIN_DATE = "2000-01-01", "2001-01-01", "1996-01-01"
-SLATE_BOUTS = 12
+SLATE_BLOCK = 20000
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,11 +71,10 @@ def contests(spark: SparkSession, d: str, with_order: bool = True) -> DataFrame:
 
 
 def slate_columns(c: DataFrame) -> DataFrame:
-    """Slates of at most 12 bouts: (day, block of 12 bout positions)."""
-    return c.withColumns({
-        "event_id": F.concat_ws("-", F.date_format("event_date", "yyyyMMdd"),
-                                F.floor((F.col("bout_order") - 1) / SLATE_BOUTS).cast("string")),
-        "bout_no": ((F.col("bout_order") - 1) % SLATE_BOUTS + 1).cast("int")})
+    """Slates: contests of a day within a block of ids (about eight bouts, never more than the block),
+    and the bout number inside the slate."""
+    c = c.withColumn("event_id", F.concat_ws("-", F.date_format("event_date", "yyyyMMdd"), F.floor(F.col("contest_id") / SLATE_BLOCK).cast("string")))
+    return c.withColumn("bout_no", F.row_number().over(W.partitionBy("event_id").orderBy("contest_id")))
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
