@@ -34,10 +34,9 @@ def normalize_name(name: Column) -> Column:
     """Accent-stripped, lower-case, punctuation-free, single-spaced; '' for NULL."""
     s = name
     s = F.translate(s, "".join(_ONE), "".join(_ONE.values()))
-    # Multi-letter foldings are rare; the chain only runs on text that has such a letter.
-    wide = s
-    for ch, base in _MANY.items():
-        wide = F.replace(wide, F.lit(ch), F.lit(base))
+    # Multi-letter foldings are rare: a fold over a literal list, only on text that has such a letter.
+    pairs = F.array(*[F.struct(F.lit(ch).alias("ch"), F.lit(base).alias("base")) for ch, base in _MANY.items()])
+    wide = F.aggregate(pairs, s, lambda acc, x: F.replace(acc, x["ch"], x["base"]))
     s = F.when(s.rlike("[" + "".join(_MANY) + "]"), wide).otherwise(s)
     s = F.lower(F.regexp_replace(s, r"\p{M}+", ""))
     s = F.regexp_replace(s, "[.'’`\"]", "")

@@ -14,9 +14,12 @@ RECENT_EVENTS = 5
 
 def prediction_columns(p: Column, name_1: Column, name_2: Column) -> dict[str, Column]:
     """Rounded output of a scored bout: the pick is side 1 when p >= 0.5."""
-    p1 = F.round(p, 4)
-    return {"p_1": p1, "p_2": F.round(1 - p1, 4), "pick": F.when(p >= 0.5, name_1).otherwise(name_2),
-            "confidence": F.round(F.greatest(p, 1 - p), 4)}
+    def four(x: Column) -> Column:
+        return F.rint(x * 10000) / 10000    # ties to even on the scaled value
+
+    p1 = four(p)
+    return {"p_1": p1, "p_2": four(1 - p1), "pick": F.when(p >= 0.5, name_1).otherwise(name_2),
+            "confidence": four(F.greatest(p, 1 - p))}
 
 
 def match_predictions(preds: DataFrame, contests: DataFrame, tolerance: int = DATE_TOLERANCE_DAYS) -> DataFrame:

@@ -107,6 +107,32 @@ _split = f"CASE WHEN event_date < DATE '{TRAIN_END}' THEN 'train' WHEN event_dat
 VIEWS["scores"] = (["forecast"], f"""SELECT a.contest_id, a.event_date, a.target, round((a.p + 1.0 - b.p) / 2.0, 9) AS p,
   {_split.replace('event_date', 'a.event_date')} AS split
   FROM forecast a JOIN forecast b ON a.contest_id = b.contest_id AND a.orientation = 0 AND b.orientation = 1""")
+VIEWS["records_all"] = (["slated", "state"], f"""SELECT t.*, coalesce(s1.cum_contests, 0) AS n1, coalesce(s1.cum_wins, 0) AS w1,
+  coalesce(s2.cum_contests, 0) AS n2, coalesce(s2.cum_wins, 0) AS w2 FROM (SELECT * FROM slated WHERE NOT is_prior) t {_before('1')} {_before('2')}""")
+VIEWS["priced"] = (["records_all"], """SELECT *, (a + 0.02::DOUBLE) / (a + b + 0.02::DOUBLE) AS p_raw FROM
+  (SELECT *, (w1 + 1)::DOUBLE / (n1 + 2) AS a, (w2 + 1)::DOUBLE / (n2 + 2) AS b FROM records_all)""")
+VIEWS["prediction"] = (["priced"], """SELECT *, CASE WHEN p >= 0.5 THEN name_1 ELSE name_2 END AS pick, greatest(p, 1 - p) AS confidence FROM (
+  SELECT contest_id AS pred_id, event_date + (contest_id % 3 - 1)::INT AS event_date, event_id AS event_name,
+    CASE WHEN contest_id % 23 <> 0 THEN CASE WHEN contest_id % 2 = 1 THEN entity_2_id ELSE entity_1_id END END AS entity_1_id,
+    CASE WHEN contest_id % 46 <> 0 THEN CASE WHEN contest_id % 2 = 1 THEN entity_1_id ELSE entity_2_id END END AS entity_2_id,
+    'E' || CASE WHEN contest_id % 2 = 1 THEN entity_2_id ELSE entity_1_id END AS name_1, 'E' || CASE WHEN contest_id % 2 = 1 THEN entity_1_id ELSE entity_2_id END AS name_2,
+    round(CASE WHEN contest_id % 2 = 1 THEN 1 - p_raw ELSE p_raw END, 6) AS p,
+    (event_date + CASE WHEN contest_id % 41 = 0 THEN 3 ELSE -(contest_id % 5) END::INT)::TIMESTAMP AS predicted_at, 'cards-' || year(event_date) || '.csv' AS prediction_file,
+    CASE WHEN contest_id % 2 = 1 THEN n2 = 0 ELSE n1 = 0 END::INT AS newcomer_1, CASE WHEN contest_id % 2 = 1 THEN n1 = 0 ELSE n2 = 0 END::INT AS newcomer_2 FROM priced)""")
+VIEWS["matched"] = (["prediction", "contest"], """SELECT q.*, CASE WHEN entity_1_id IS NULL AND entity_2_id IS NULL THEN 'unmatchable (no ids)' WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'pending' END AS status,
+  CASE WHEN n = 1 THEN hit END AS contest_id FROM (
+  SELECT p.*, count(c.contest_id) AS n, min(c.contest_id) AS hit FROM prediction p LEFT JOIN contest c
+    ON c.event_date BETWEEN p.event_date - 1 AND p.event_date + 1
+    AND (p.entity_1_id IS NOT NULL OR p.entity_2_id IS NOT NULL)
+    AND (p.entity_1_id IS NULL OR p.entity_1_id IN (c.entity_1_id, c.entity_2_id)) AND (p.entity_2_id IS NULL OR p.entity_2_id IN (c.entity_1_id, c.entity_2_id))
+  GROUP BY ALL) q""")
+VIEWS["latest"] = (["matched"], """SELECT * FROM matched WHERE status = 'matched' AND predicted_at <= event_date::TIMESTAMP + INTERVAL 2 DAY
+  QUALIFY row_number() OVER (PARTITION BY contest_id ORDER BY predicted_at DESC, pred_id DESC) = 1""")
+VIEWS["logged"] = (["latest", "contest"], """SELECT l.*, c.result, CASE WHEN c.result <> 'win' THEN c.result WHEN c.winner_id = l.entity_1_id THEN name_1 WHEN c.winner_id = l.entity_2_id THEN name_2
+  WHEN l.entity_1_id IS NOT NULL THEN name_2 ELSE name_1 END AS actual_winner FROM latest l JOIN contest c USING (contest_id)""")
+VIEWS["graded"] = (["priced"], """SELECT *, CASE WHEN result = 'win' THEN (p >= 0.5) = (winner_id = entity_1_id) END AS correct, greatest(p, 1 - p) AS p_pick FROM (
+  SELECT * REPLACE (CASE WHEN contest_id % 33 = 0 THEN 'dq' ELSE finish_group END AS finish_group, CASE WHEN contest_id % 4 = 0 THEN 'Women''s ' || division ELSE division END AS division),
+  round(p_raw, 6) AS p, n1 = 0 OR n2 = 0 AS newcomer, contest_id % 9 = 0 AS late_change FROM priced)""")
 SPLIT = _split
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators import matchup as M
 from ..operators.running import sequence_in_group
+from ..session import cut_lineage
 
 TRAIN_END, VALID_END, MIN_DATE = "2000-01-01", "2001-01-01", "1996-01-01"
 SLATE_BLOCK = 20000
@@ -40,9 +41,10 @@ def ranked_sides(spark: SparkSession, d: str) -> DataFrame:
     return side(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
 
 
-def contests(spark: SparkSession, d: str, with_order: bool = True) -> DataFrame:
-    """One row per contest. `bout_order` (1.. within the day) is only computed on request."""
-    fields = F.struct("entity_id", "attempted", "rf", "td_attempted")
+def contests(spark: SparkSession, d: str, with_order: bool = True, with_stats: bool = False) -> DataFrame:
+    """One row per contest. `bout_order` (1.. within the day) and the sides' stats only on request."""
+    fields = F.struct(*(["entity_id", *[F.col(c).cast("double").alias(c) for c in H.OWN_STATS if c != "duration_sec"], "rf"] if with_stats
+                        else ["entity_id", "attempted", "rf", "td_attempted"]))
     pairs = ranked_sides(spark, d).groupBy("contest_id").agg(
         F.max(F.when(F.col("rn") == 1, fields)).alias("a"), F.max(F.when(F.col("rn") == 2, fields)).alias("b")
     ).filter("b is not null")
@@ -62,7 +64,13 @@ def contests(spark: SparkSession, d: str, with_order: bool = True) -> DataFrame:
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("division"),
         (key % 17 != 0).alias("has_stats"), (F.col("event_date") < F.lit(MIN_DATE).cast("date")).alias("is_prior"),
         F.when(key % 20 == 0, 5).otherwise(3).alias("scheduled_rounds"), (key % 50 == 0).alias("is_title"),
-        (60 * (F.col("a.td_attempted") + F.col("b.td_attempted"))).alias("duration_sec"))
+        (60 * (F.col("a.td_attempted") + F.col("b.td_attempted"))).alias("duration_sec"),
+        *(["a", "b"] if with_stats else []))
+    if with_stats:
+        def stats_of(x: str) -> Column:
+            return F.when(F.col("has_stats"), F.struct(F.col(f"{x}.entity_id").alias("entity_id"),
+                          *[(F.col("duration_sec").cast("double") if m == "duration_sec" else F.col(f"{x}.{m}")).alias(m) for m in H.OWN_STATS]))
+        c = c.withColumns({"stats_1": stats_of("a"), "stats_2": stats_of("b")}).drop("a", "b")
     c = c.withColumn("is_target", (F.col("result") == "win") & ~F.col("is_prior"))
     if with_order:
         return sequence_in_group(c, ["event_date"], "contest_id", "bout_order")
@@ -104,21 +112,28 @@ def appearances(spark: SparkSession, d: str, with_stats: bool = False, with_orde
 
 
 def states(spark: SparkSession, d: str, with_rates: bool = False) -> DataFrame:
-    return H.daily_states(appearances(spark, d, with_rates), with_rates)
+    c = contests(spark, d, with_order=False, with_stats=with_rates)
+    return H.daily_states(H.appearances(c), with_rates)
+
+
+def stored_contests(spark: SparkSession, d: str) -> DataFrame:
+    """Contests with both sides' stats attached, written once: history, division days, targets and probes
+    all read this table instead of deriving it again."""
+    return cut_lineage(contests(spark, d, with_order=False, with_stats=True), "contests")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     """Training features of every target contest, both orientations."""
-    c = contests(spark, d, with_order=False)
-    a = H.appearances(c, stats(spark, d))
+    c = stored_contests(spark, d)
+    a = H.appearances(c)
     return M.training_features(c, H.daily_states(a), H.division_days(a), entity(spark, d), TRAIN_END, VALID_END)
 
 
-def records_before(spark: SparkSession, d: str) -> DataFrame:
+def records_before(spark: SparkSession, d: str, which: str = "is_target") -> DataFrame:
     """Target contests with each side's contests and wins strictly before (n1, w1, n2, w2)."""
     c = contests(spark, d, with_order=False)
     st = H.daily_states(H.appearances(c), with_rates=False).select("entity_id", "event_date", "cum_contests", "cum_wins")
-    targets = c.filter("is_target")
+    targets = c.filter(which)
     probes = targets.select(F.explode(F.array("entity_1_id", "entity_2_id")).alias("entity_id"), "event_date")
     pre = H.asof_strict(st, probes, ["entity_id"])
     for s in ("1", "2"):
@@ -145,3 +160,45 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     """Symmetric contest scores of the forecast, with the split label."""
     s = M.contest_scores(forecast_rows(spark, d)).withColumn("p", F.round("p", 9))
     return s.withColumn("split", M.assign_split(F.col("event_date"), TRAIN_END, VALID_END))
+
+
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    """One saved prediction per contest on or after the cut-off: sides in either order, an id missing here
+    and there, dates off by up to a day, some made late."""
+    r = slate_columns(records_before(spark, d, "not is_prior"))
+    key, swap = F.col("contest_id"), F.col("contest_id") % 2 == 1
+    a, b = M.smoothed_win_rate(F.col("w1"), F.col("n1")), M.smoothed_win_rate(F.col("w2"), F.col("n2"))
+    p1 = (a + 0.02) / (a + b + 0.02)
+    p = F.round(F.when(swap, 1 - p1).otherwise(p1), 6)
+    def id_of(s: str) -> Column:
+        return F.when(swap, F.col(f"entity_{'2' if s == '1' else '1'}_id")).otherwise(F.col(f"entity_{s}_id"))
+    def name(c: Column) -> Column:
+        return F.concat(F.lit("E"), c)
+    made = F.date_add("event_date", F.when(key % 41 == 0, 3).otherwise(-(key % 5)).cast("int")).cast("timestamp")
+    df = r.select(key.alias("pred_id"), F.date_add("event_date", (key % 3 - 1).cast("int")).alias("event_date"), F.col("event_id").alias("event_name"),
+                  F.when(key % 23 != 0, id_of("1")).alias("entity_1_id"), F.when(key % 46 != 0, id_of("2")).alias("entity_2_id"),
+                  name(id_of("1")).alias("name_1"), name(id_of("2")).alias("name_2"), p.alias("p"), made.alias("predicted_at"),
+                  F.lit("model_1").alias("model_version"), F.concat(F.lit("cards-"), F.year("event_date"), F.lit(".csv")).alias("prediction_file"),
+                  F.when(swap, (F.col("n2") == 0)).otherwise(F.col("n1") == 0).cast("int").alias("newcomer_1"),
+                  F.when(swap, (F.col("n1") == 0)).otherwise(F.col("n2") == 0).cast("int").alias("newcomer_2"))
+    pick = F.when(F.col("p") >= 0.5, F.col("name_1")).otherwise(F.col("name_2"))
+    return df.withColumns({"pick": pick, "confidence": F.greatest(F.col("p"), 1 - F.col("p")),
+                           "key_factors": F.concat("name_1", F.lit(": Win rate (0.10); Age (0.05) | "), "name_2", F.lit(": none"))})
+
+
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    """One reviewed bout per contest on or after the cut-off."""
+    r = slate_columns(records_before(spark, d, "not is_prior"))
+    a, b = M.smoothed_win_rate(F.col("w1"), F.col("n1")), M.smoothed_win_rate(F.col("w2"), F.col("n2"))
+    p = F.round((a + 0.02) / (a + b + 0.02), 6)
+    won_1 = F.col("winner_id") == F.col("entity_1_id")
+    df = r.withColumn("p", p).withColumns({
+        "p_pick": F.greatest(F.col("p"), 1 - F.col("p")),
+        "correct": F.when(F.col("result") == "win", (F.col("p") >= 0.5) == won_1),
+        "finish_group": F.when(F.col("contest_id") % 33 == 0, "dq").otherwise(F.col("finish_group")),
+        "newcomer": (F.col("n1") == 0) | (F.col("n2") == 0), "late_change": F.col("contest_id") % 9 == 0,
+        "late_change_source": F.when(F.col("contest_id") % 9 == 0, "detected"),
+        "division": F.when(F.col("contest_id") % 4 == 0, F.concat(F.lit("Women's "), "division")).otherwise(F.col("division")),
+        "name_1": F.concat(F.lit("E"), "entity_1_id"), "name_2": F.concat(F.lit("E"), "entity_2_id"), "event_name": F.col("event_id")})
+    return df.withColumns({"pick": F.when(F.col("p") >= 0.5, F.col("name_1")).otherwise(F.col("name_2")), "bout_order": F.col("bout_no"),
+                           "actual_winner": F.when(F.col("winner_id").isNotNull(), F.concat(F.lit("E"), "winner_id")).otherwise(F.col("result"))})
