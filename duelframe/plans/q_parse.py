@@ -157,12 +157,12 @@ def _(spark, d):
 
 
 @query("clean_titles", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Arena ' || c_custkey || ': ' || c_name WHEN 1 THEN 'Arena Fight Night: ' || c_name
-  WHEN 2 THEN 'Noche Arena: ' || c_name ELSE c_name || ' on tour' END AS title FROM customer""")
+  WHEN 2 THEN 'Gala Arena: ' || c_name ELSE c_name || ' on tour' END AS title FROM customer""")
 def _(spark, d):
     key, name = F.col("c_custkey"), F.col("c_name")
     text = (F.when(key % 4 == 0, F.concat(F.initcap("c_mktsegment"), F.lit("  Arena "), key, F.lit(": "), name)).when(key % 4 == 1, F.concat(F.lit("Arena Fight Night | "), name))
-            .when(key % 4 == 2, F.concat(F.lit("Noche Arena - "), name)).otherwise(F.concat(name, F.lit("  on tour "))))
-    return V.table(spark, d, "customer").select("c_custkey", P.clean_title(text, "Arena", "Noche").alias("title"))
+            .when(key % 4 == 2, F.concat(F.lit("Gala Arena - "), name)).otherwise(F.concat(name, F.lit("  on tour "))))
+    return V.table(spark, d, "customer").select("c_custkey", P.clean_title(text, "Arena", "Gala").alias("title"))
 
 
 @query("nearest_year_date", """SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%m-%d') <> '02-29' THEN o_orderdate::DATE END AS d FROM orders""")
