@@ -10,9 +10,11 @@ short sets, else 1). Two sets with enough nonempty partitions and at most k diff
 a subset; sets with fewer nonempty ones share a signature of their own. So no link is lost, whatever
 the hash values are; candidates are verified on the sets.
 
-Copies are one node. A signature's nodes are tested against its first nodes, one after another, and
-only pairs that the links so far leave in different components are tested further: a group of n
-copies costs n tests. Signatures made of very frequent shingles are salted.
+Copies are one node. A signature's nodes are tested against its first node, the one that is in the
+largest groups; only pairs that these links leave in different components are tested further: a group
+of n copies costs n tests. A pair is dropped early if the sizes differ too much or if a 1,024-bit map of
+the two sets differs in more than k bits, which no similar sets do. Signatures made of very frequent
+shingles are salted.
 
 Nulls and texts without words have an empty set and link with nothing; rows without doc_id are kept
 with a null component; repeated rows are copies; an empty table gives an empty result.
@@ -25,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from duelframe.session import cut_lineage
@@ -39,8 +41,8 @@ FREQUENT = 1 << 16
 UNIT, UNIT_COUNT = 1 << 20, 3
 #: Nodes of a signature that may meet in one group; beyond it, signatures are salted.
 HOT = 20_000
-#: Nodes of a signature that are tested against all others before the rest is paired.
-CENTERS = 3
+#: 64-bit words of a set's bit map.
+MAP = 16
 #: Candidate documents whose ids may be sent to all tasks (8 bytes each); beyond it they are joined.
 SENT_IDS = 1 << 20
 
@@ -159,8 +161,17 @@ def _sign(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray, seen
     return run
 
 
+def bit_map(values: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * MAP, dtype=np.uint8)
+    bits[(mix(values) % U(64 * MAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets_of(width: int, wanted):
-    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+
+    def table(nodes, items, bits):
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
         ids = wanted.value if wanted is not None else None
@@ -169,19 +180,23 @@ def _sets_of(width: int, wanted):
                 own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
                 batch = batch.filter(pa.array((ids[at] == own) if len(ids) else np.zeros(len(own), dtype=bool)))
-            nodes, items, size = [], [], 0
+            nodes, items, bits, size = [], [], [], 0
             for _, values in _row_sets(batch, width):
                 nodes.append(node_of(values))
+                bits.append(bit_map(values))
                 items.append(values.view(np.int64))
                 size += len(values)
                 if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], schema=schema)
-                    nodes, items, size = [], [], 0
+                    yield table(nodes, items, bits)
+                    nodes, items, bits, size = [], [], [], 0
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+                yield table(nodes, items, bits)
     return run
 
 
+SET = "node long, items array<long>, bits array<long>"
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links(u, v)`, root being the smallest node that it reaches.
 
@@ -221,47 +236,54 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     signed = docs.mapInArrow(_sign(width, percent, frequent, rank, seen), "sig long, salt int, node long")
     group = W.partitionBy("sig", "salt")
-    shared = (signed.withColumn("last", F.max("node").over(group)).withColumn("first", F.min("node").over(group))
-              .filter("first < last or salt > 0").withColumn("rank", F.dense_rank().over(group.orderBy("node")))
-              .select("sig", "salt", "node", "first", "rank").distinct())
-    shared = cut_lineage(shared, "shared")
+    met = (signed.withColumn("last", F.max("node").over(group)).withColumn("first", F.min("node").over(group)).withColumn("size", F.count(F.lit(1)).over(group))
+           .filter("first < last or salt > 0").select("sig", "salt", "node", "size").distinct())
+    met = cut_lineage(met, "met")
+    # a text from which many others were made is in most of its groups, and those are large: it goes first
+    weights = cut_lineage(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    order = group.orderBy(F.desc("weight"), "node")
+    shared = cut_lineage(met.join(weights, "node").select("sig", "salt", "node", F.first("node").over(order).alias("first"), F.row_number().over(order).alias("rank")), "shared")
 
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     wanted = shared.select("node").distinct().join(classes, "node").select("node", "rep")
     wanted = cut_lineage(wanted, "wanted")
     if (n := wanted.count()) <= SENT_IDS:
         ids = np.unique(np.array([r.rep for r in wanted.select("rep").collect()], dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
-        sets = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(ids)), "node long, items array<long>")
+        sets = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(ids)), SET)
     else:
-        sets = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of(width, None), "node long, items array<long>")
+        sets = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of(width, None), SET)
     sets = cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "items")
 
+    maps = cut_lineage(sets.select("node", F.size("items").alias("n"), "bits"), "maps")
+
+    def near(a: str, b: str) -> Column:
+        """What similar sets fulfil, by their sizes and bit maps."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        differ = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(MAP)), F.lit(0))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
                 .join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u"))
-        fits = (F.least(F.size("a"), F.size("b")) * 100 >= F.greatest(F.size("a"), F.size("b")) * percent)
         same = F.size(F.array_intersect("a", "b"))
-        return both.filter(fits).filter(same * 100 >= (F.size("a") + F.size("b") - same) * percent).select("u", "v")
+        return both.filter(same * 100 >= (F.size("a") + F.size("b") - same) * percent).select("u", "v")
 
     salted = shared.filter("salt > 0 and rank = 1").select("sig", "node", F.min("node").over(W.partitionBy("sig")).alias("first"))
     pairs = shared.select(F.col("first").alias("u"), F.col("node").alias("v")).union(salted.select(F.col("first").alias("u"), F.col("node").alias("v"))).filter("u <> v").distinct()
-    links = cut_lineage(verified(pairs), "links")
+    pairs = (pairs.join(maps.select(F.col("node").alias("v"), F.struct("n", "bits").alias("y")), "v").join(maps.select(F.col("node").alias("u"), F.struct("n", "bits").alias("x")), "u")
+             .filter(near("x", "y")).select("u", "v"))
+    links = cut_lineage(verified(cut_lineage(pairs, "pairs")), "links")
     roots = cut_lineage(connected(links), "roots")
-    for step in range(2, CENTERS + 2):
-        placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_sigs = cut_lineage(placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig"), "open")
-        if open_sigs.isEmpty():
-            break
-        rest = cut_lineage(placed.join(open_sigs, "sig"), "open")
-        a = rest.select("sig", F.col("salt").alias("sa"), F.col("node").alias("x"), F.col("rank").alias("ra"), F.col("root").alias("rx"))
-        b = rest.select("sig", F.col("salt").alias("sb"), F.col("node").alias("y"), F.col("rank").alias("rb"), F.col("root").alias("ry"))
-        a = a.filter(F.col("ra") == step) if step <= CENTERS else a.filter((F.col("ra") > CENTERS) | (F.col("sa") > 0))
-        order = ((F.col("sa") == F.col("sb")) & (F.col("ra") < F.col("rb"))) | (F.col("sa") != F.col("sb"))
-        pairs = a.join(b, "sig").filter((F.col("rx") != F.col("ry")) & order).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        new = cut_lineage(verified(pairs), "links")
-        if new.isEmpty():
-            continue
-        links = links.union(new)
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_sigs = cut_lineage(placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.max("salt").alias("salts"))
+                            .filter("lo < hi and (k > 2 or salts > 0)").select("sig"), "open")
+    if not open_sigs.isEmpty():
+        rest = cut_lineage(placed.join(open_sigs, "sig").filter("rank > 1 or salt > 0").join(maps, "node")
+                           .select("sig", F.struct("node", "salt", "rank", "root", "n", "bits").alias("x")), "rest")
+        order = F.when(F.col("x.salt") == F.col("y.salt"), (F.col("x.rank") < F.col("y.rank")) & (F.col("x.rank") > 1)).otherwise(F.col("x.salt") < F.col("y.salt"))
+        pairs = (rest.join(rest.withColumnRenamed("x", "y"), "sig").filter((F.col("x.root") != F.col("y.root")) & order & near("x", "y"))
+                 .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct())
+        links = links.union(cut_lineage(verified(cut_lineage(pairs, "pairs")), "links"))
         roots = cut_lineage(connected(links), "roots")
 
     least = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))

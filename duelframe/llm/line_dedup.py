@@ -59,17 +59,19 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     counts = [0] * CELLS
     for r in cells:         # powers of two above the mean cell
         counts[r["cell"]] = max(0, int(2 * r["count"] * CELLS // total).bit_length() - 1)
-    described = tokens.select("doc_id", "row", "pos", let(_ranked(F.col("t"), counts), lambda k: F.struct(
-        F.xxhash64(k).alias("node"), F.size(k).alias("n"), F.slice(k, F.lit(1), _needed(F.size(k), percent)).alias("prefix"))).alias("d"))
-    described = cut_lineage(described.select("doc_id", "row", "pos", "d.*"), "lines")
+    keyed = tokens.select("doc_id", "row", "pos", _ranked(F.col("t"), counts).alias("k"))
+    prefix = keyed.select(let(F.col("k"), lambda k: F.struct(F.xxhash64(k).alias("node"), F.size(k).alias("n"), F.slice(k, F.lit(1), _needed(F.size(k), percent)).alias("prefix"))).alias("d"))
+    postings = prefix.select("d.node", "d.n", F.posexplode("d.prefix").alias("i", "token")).select("token", "node", "n", "i")
+    group = W.partitionBy("token")
+    shared = (postings.withColumn("lo", F.min("node").over(group)).withColumn("hi", F.max("node").over(group)).filter("lo <> hi")
+              .select("token", "node", "n", "i").distinct())
+    shared = cut_lineage(shared, "shared")
+    lines = cut_lineage(keyed.select("doc_id", "row", "pos", F.xxhash64("k").alias("node")), "lines")
     tokens.unpersist()
 
-    firsts = cut_lineage(described.groupBy("node").agg(F.min(F.struct("doc_id", "pos", "row")).alias("f"), F.count(F.lit(1)).alias("lines")).select("node", "f.*", "lines"), "classes")
-    first = described.join(firsts.select("node", "doc_id", "row", "pos"), ["doc_id", "row", "pos", "node"], "left_semi")
-    postings = first.select("node", "doc_id", "pos", "n", F.posexplode("prefix").alias("i", "token"))
-    group = W.partitionBy("token")
-    met = (postings.withColumn("c", F.min(F.struct("doc_id", "pos", "node", "n", "i")).over(group)).withColumn("last", F.max(F.struct("doc_id", "pos", "node")).over(group))
-           .filter("c.node <> last.node").select("token", F.struct("doc_id", "pos", "node", "n", "i").alias("x"), "c"))
+    firsts = cut_lineage(lines.groupBy("node").agg(F.min(F.struct("doc_id", "pos", "row")).alias("f"), F.count(F.lit(1)).alias("lines")).select("node", "f.*", "lines"), "classes")
+    met = (shared.join(firsts, "node").select("token", F.struct("doc_id", "pos", "node", "n", "i").alias("x"))
+           .withColumn("c", F.min("x").over(group)))
     met = cut_lineage(met, "met")
 
     def possible(a: str, b: str) -> Column:
@@ -96,7 +98,7 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     second = candidates(later.select("token", "x").join(staying, "token").filter(F.struct("x.doc_id", "x.pos", "x.node") < F.struct("y.doc_id", "y.pos", "y.node")), "x", "y")
     gone = gone.union(cut_lineage(verified(second), "gone")).distinct()
 
-    copies = (described.join(firsts.filter("lines > 1").select("node", F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("row").alias("r")), "node")
+    copies = (lines.join(firsts.filter("lines > 1").select("node", F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("row").alias("r")), "node")
               .filter("doc_id <> d or pos <> p or row <> r").select("doc_id", "row", "pos"))
     return copies.union(firsts.join(gone, "node").select("doc_id", "row", "pos")).distinct()
 
