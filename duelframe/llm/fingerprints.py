@@ -85,12 +85,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ids = cut_lineage(ids, "ids")
     order = cut_lineage(following(ids.select("doc_id", "n")), "order")
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asks"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    heads = rows.join(asked, "doc_id").select(F.col("asks").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), F.col("doc_id").alias("next_id"))
+    named = rows.filter("doc_id is not null")       # both joins read one shuffle of the texts
+    heads = named.join(asked, "doc_id").select(F.col("asks").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), F.col("doc_id").alias("next_id"))
     if not ids.filter("copies > 1").isEmpty():
         heads = heads.groupBy("doc_id", "next_id").agg(F.min("head").alias("head"))
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.coalesce("head", F.lit("")), F.lit(1), third))
-    met = rows.join(heads, "doc_id", "left").select("doc_id", "next_id", "text", edited.alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("head"), F.lit(1), third))
+    met = (named.join(heads, "doc_id").select("doc_id", "next_id", "text", "head")
+           .union(rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long"), "text", F.lit(""))).select("doc_id", "next_id", "text", edited.alias("edited")))
     return met.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                       fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
 

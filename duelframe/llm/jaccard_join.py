@@ -167,11 +167,12 @@ def bit_map(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _sets_of(width: int, wanted):
-    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+def _sets_of(width: int, wanted, whole: bool):
+    """Rows (node, n, items) of sets if `whole`, else (node, n, bits) of their bit maps."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("items" if whole else "bits", pa.list_(pa.int64()))])
 
-    def table(nodes, items, bits):
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
+    def table(nodes, sizes, held):
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(held, pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
         ids = wanted.value if wanted is not None else None
@@ -180,23 +181,20 @@ def _sets_of(width: int, wanted):
                 own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
                 batch = batch.filter(pa.array((ids[at] == own) if len(ids) else np.zeros(len(own), dtype=bool)))
-            nodes, items, bits, size = [], [], [], 0
+            nodes, sizes, held, size = [], [], [], 0
             for _, values in _row_sets(batch, width):
                 nodes.append(node_of(values))
-                bits.append(bit_map(values))
-                items.append(values.view(np.int64))
-                size += len(values)
+                sizes.append(len(values))
+                held.append(values.view(np.int64) if whole else bit_map(values))
+                size += len(held[-1])
                 if size > 1 << 18:
-                    yield table(nodes, items, bits)
-                    nodes, items, bits, size = [], [], [], 0
+                    yield table(nodes, sizes, held)
+                    nodes, sizes, held, size = [], [], [], 0
             if nodes:
-                yield table(nodes, items, bits)
+                yield table(nodes, sizes, held)
     return run
 
 
-SET = "node long, items array<long>, bits array<long>"
-
-
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links(u, v)`, root being the smallest node that it reaches.
 
@@ -247,14 +245,18 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     wanted = shared.select("node").distinct().join(classes, "node").select("node", "rep")
     wanted = cut_lineage(wanted, "wanted")
-    if (n := wanted.count()) <= SENT_IDS:
-        ids = np.unique(np.array([r.rep for r in wanted.select("rep").collect()], dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
-        sets = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(ids)), SET)
-    else:
-        sets = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of(width, None), SET)
-    sets = cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "items")
 
-    maps = cut_lineage(sets.select("node", F.size("items").alias("n"), "bits"), "maps")
+    def of_nodes(asked: DataFrame, whole: bool) -> DataFrame:
+        """The sets or bit maps of `asked(node, rep)`, computed from the texts of the representatives."""
+        kind = "node long, n int, " + ("items array<long>" if whole else "bits array<long>")
+        if (n := asked.count()) <= SENT_IDS:
+            ids = np.unique(np.array([r.rep for r in asked.select("rep").collect()], dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
+            found = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(ids), whole), kind)
+        else:
+            found = docs.join(asked.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of(width, None, whole), kind)
+        return cut_lineage(found.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "items" if whole else "maps")
+
+    maps = of_nodes(wanted, False)
 
     def near(a: str, b: str) -> Column:
         """What similar sets fulfil, by their sizes and bit maps."""
@@ -263,6 +265,8 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = of_nodes(cut_lineage(wanted.join(named, "node"), "asked"), True)
         both = (pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
                 .join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u"))
         same = F.size(F.array_intersect("a", "b"))
