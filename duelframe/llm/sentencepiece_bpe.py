@@ -27,67 +27,71 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Units that a task remembers; whole texts of which one is compared with the library.
-REMEMBERED, WHOLE = 200_000, 64
+REMEMBERED, WHOLE = 500_000, 64
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 SCHEMA = "doc_id long, ids array<int>, decoded string, checked boolean"
 
 
 @functools.lru_cache(maxsize=2)
 def load(path: str):
-    """(library processor, scores and ids by piece, id of each byte, remembered units) of a vocabulary file."""
+    """(library processor, (rank by score, id) of the pieces, id of each byte, remembered units) of a vocabulary file."""
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces, byte_ids = {}, [library.unk_id()] * 256
+    scores, byte_ids = {}, [library.unk_id()] * 256
     for i in range(len(library)):
         piece = library.id_to_piece(i)
         if library.is_byte(i):
             byte_ids[int(piece[3:5], 16)] = i
         elif not (library.is_control(i) or library.is_unknown(i) or library.is_unused(i)):
-            pieces[piece] = (library.get_score(i), i)
+            scores[piece] = (library.get_score(i), i)
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError("units of this vocabulary depend on each other")
     if library.normalize("a  b") != SPACE + f"a{SPACE}{SPACE}b" or library.normalize("ｆ ") != SPACE + "ｆ ":
         raise ValueError("only vocabularies with identity normalisation are supported")
-    return library, pieces, byte_ids, {}
+    levels = {score: rank for rank, score in enumerate(sorted({score for score, _ in scores.values()}, reverse=True))}
+    return library, ({piece: levels[score] for piece, (score, _) in scores.items()}, {piece: i for piece, (_, i) in scores.items()}), byte_ids, {}
 
 
 def encode_unit(unit: str, pieces: dict, byte_ids: list[int]) -> list[int]:
-    """Ids of one unit by the agenda of adjacent symbol pairs."""
-    if unit in pieces and len(unit) == 1:
-        return [pieces[unit][1]]
-    symbols = list(unit)
-    n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = []
-    for i in range(n - 1):
-        union = symbols[i] + symbols[i + 1]
-        if union in pieces:
-            agenda.append((-pieces[union][0], i, i + 1, union))
+    """Ids of one unit by the agenda of adjacent symbol pairs: (rank of the union, place) in one number.
+
+    A pair is taken if the union that stands there now still has that rank.
+    """
+    rank_of, id_of = pieces
+    get, push, pop = rank_of.get, heapq.heappush, heapq.heappop
+    n = len(unit)
+    symbols = [*unit, " "]       # the last one joins with nothing
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    agenda = [rank << 32 | i for i in range(n - 1) if (rank := get(unit[i:i + 2])) is not None]
     heapq.heapify(agenda)
     while agenda:
-        _, i, j, union = heapq.heappop(agenda)
-        if symbols[i] is None or after[i] != j or j >= n or symbols[j] is None or len(union) != len(symbols[i]) + len(symbols[j]):
+        first = pop(agenda)
+        i = first & 0xFFFFFFFF
+        left = symbols[i]
+        if left is None:
+            continue
+        j = after[i]
+        union = left + symbols[j]
+        if get(union) != first >> 32:
             continue
         symbols[i], symbols[j] = union, None
-        k = after[j]
-        after[i] = k
-        if k < n:
-            before[k] = i
-            right = union + symbols[k]
-            if right in pieces:
-                heapq.heappush(agenda, (-pieces[right][0], i, k, right))
+        after[i] = k = after[j]
+        before[k] = i
+        rank = get(union + symbols[k])
+        if rank is not None:
+            push(agenda, rank << 32 | i)
         h = before[i]
         if h >= 0:
-            left = symbols[h] + union
-            if left in pieces:
-                heapq.heappush(agenda, (-pieces[left][0], h, i, left))
+            rank = get(symbols[h] + union)
+            if rank is not None:
+                push(agenda, rank << 32 | h)
     ids = []
-    for s in symbols:
+    for s in symbols[:n]:
         if s is None:
             continue
-        if s in pieces:
-            ids.append(pieces[s][1])
+        if s in id_of:
+            ids.append(id_of[s])
         else:
             ids.extend(byte_ids[b] for b in s.encode("utf-8"))
     return ids
@@ -115,26 +119,27 @@ def _encode(path: str, whole: int):
                     new = list({u for us in units for u in us})
                 for u, theirs in zip(new, library.encode([u[1:].replace(SPACE, " ") for u in new], num_threads=1) if new else ()):
                     ids = encode_unit(u, pieces, byte_ids)
-                    # a lone sign is the library's empty text
-                    known[u] = np.array(ids, dtype=np.int32)
-                    if ids != theirs and len(u) > 1:
+                    known[u] = ids
+                    if ids != theirs and len(u) > 1:        # a lone sign is the library's empty text
                         wrong.add(u)
                 ids, checked = [], []
                 for t, us in zip(part, units):
-                    own = np.concatenate([known[u] for u in us]) if us else np.empty(0, dtype=np.int32)
+                    own: list[int] = []
+                    for u in us:
+                        own += known[u]
                     right = not wrong.intersection(us) if wrong else True
                     if not right or (count % whole == 0 and t):
-                        theirs = np.array(library.encode(t), dtype=np.int32)
-                        right = np.array_equal(own, theirs)
+                        theirs = library.encode(t)
+                        right = right and own == theirs
                         own = theirs
                     ids.append(own)
                     checked.append(right)
                     count += 1
                 for u in wrong:
                     known.pop(u, None)
-                decoded = library.decode([x.tolist() for x in ids], num_threads=1)
+                decoded = library.decode(ids, num_threads=1)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
+                flat = np.array([i for x in ids for i in x], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 256), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                                                   pa.array(decoded, pa.string()), pa.array(checked)], schema=schema)
     return run
