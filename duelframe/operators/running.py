@@ -38,7 +38,7 @@ def sequence_in_group(df: DataFrame, keys: list[str], ordinal: str, out: str,
     in_block = W.partitionBy(*keys, "_blk").orderBy(ordinal)
     return (blocked.withColumn("_rn", F.row_number().over(in_block))
             .join(offsets, [*keys, "_blk"])
-            .withColumn(out, (F.col("_rn") + F.col("_off")).cast("int"))
+            .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
             .drop("_blk", "_rn", "_off"))
 
 

@@ -30,9 +30,11 @@ def build_session(app: str = "duelframe", master: str | None = None, **extra: st
 
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` where the cluster names one.
-    Only where that is unset (tests, local runs) a fresh temporary folder is used."""
+    Where that is unset, a local master gets a fresh temporary folder; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="duelframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

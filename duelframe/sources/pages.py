@@ -44,7 +44,7 @@ class ListingLayout:
 def _blocks(html: Column, cls: str) -> Column:
     """Fragments that start at an element of class `cls` and run to the next one."""
     cut = F.regexp_replace(html, rf'<(?=[a-z0-9]+\b[^>]*\bclass="(?:[^"]*\s)?{cls}(?:\s[^"]*)?")', "\u0001<")
-    return F.slice(F.split(cut, "\u0001"), 2, 1 << 20)
+    return F.filter(F.split(cut, "\u0001"), lambda _, i: i > 0)
 
 
 def _element(html: Column, cls: str) -> Column:
