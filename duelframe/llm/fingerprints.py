@@ -62,7 +62,7 @@ def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of the shingle sets behind two fingerprints."""
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(a, i * 2 + 1, F.lit(2)) == F.substring(b, i * 2 + 1, F.lit(2))))
     chance = 1.0 / (1 << BITS)
-    return F.when((a == EMPTY) | (b == EMPTY), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance)))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when((a == EMPTY) | (b == EMPTY), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance)))
 
 
 def following(ids: DataFrame) -> DataFrame:
