@@ -19,6 +19,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from duelframe.session import cut_lineage
 
@@ -80,7 +81,9 @@ def following(ids: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, next_id) per document; `edited` is the hash of its edited text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # a cast that changes nothing would keep the two joins below from reading one shuffle
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("copies"))
     ids = cut_lineage(ids, "ids")
     order = cut_lineage(following(ids.select("doc_id", "n")), "order")
