@@ -4,7 +4,9 @@ A text is normalised as the vocabulary says (a space before it, spaces as U+2581
 sign after another character, so the text falls into units (a run of the sign and what follows) that
 never merge with each other. A unit's symbols are merged by an agenda of adjacent pairs: the pair
 whose union has the best score goes first, the leftmost of equal ones; pairs that changed meanwhile
-are skipped. Symbols outside the vocabulary become their UTF-8 byte pieces.
+are skipped. Units of up to `ROW` characters keep their agendas as rows of one numpy table and merge in step,
+one pair a unit and turn; longer ones have a heap each. Symbols outside the vocabulary become their
+UTF-8 byte pieces.
 
 Every unit that is new to a task is also encoded by the sentencepiece library in the same Arrow batch,
 and so is every `WHOLE`-th whole text; where they differ, the library's ids are used and `checked` is
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Units that a task remembers; whole texts of which one is compared with the library.
 REMEMBERED, WHOLE = 500_000, 64
+#: Characters of a unit whose agenda is a table row; cells of one table.
+ROW, CELLS = 64, 1 << 18
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+NEVER, GONE = 1 << 40, -1
 SCHEMA = "doc_id long, ids array<int>, decoded string, checked boolean"
 
 
 @functools.lru_cache(maxsize=2)
 def load(path: str):
-    """(library processor, (rank by score, id) of the pieces, id of each byte, remembered units) of a vocabulary file."""
+    """(library processor, (rank by score, id) of the pieces, id of each byte, remembered units, `Pairs`) of a vocabulary file."""
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,7 +55,88 @@ def load(path: str):
     if library.normalize("a  b") != SPACE + f"a{SPACE}{SPACE}b" or library.normalize("ｆ ") != SPACE + "ｆ ":
         raise ValueError("only vocabularies with identity normalisation are supported")
     levels = {score: rank for rank, score in enumerate(sorted({score for score, _ in scores.values()}, reverse=True))}
-    return library, ({piece: levels[score] for piece, (score, _) in scores.items()}, {piece: i for piece, (_, i) in scores.items()}), byte_ids, {}
+    pieces = {piece: levels[score] for piece, (score, _) in scores.items()}, {piece: i for piece, (_, i) in scores.items()}
+    return library, pieces, byte_ids, {}, Pairs(*pieces)
+
+
+class Pairs:
+    """Every pair of symbols whose union is a piece, as sorted keys; symbols are piece ids, then numbers of other characters of pieces."""
+
+    def __init__(self, rank_of: dict, id_of: dict):
+        self.pieces = 1 + max(id_of.values(), default=-1)
+        symbols = dict(id_of)
+        for c in sorted({c for piece in rank_of for c in piece}.difference(symbols)):
+            symbols[c] = self.pieces + len(symbols)
+        self.other = self.pieces + len(symbols)         # a character of no piece; the next number stands for no symbol
+        self.base = self.other + 2
+        rows = sorted((symbols[left] * self.base + symbols[right], rank, id_of[piece]) for piece, rank in rank_of.items()
+                      for cut in range(1, len(piece)) if (left := piece[:cut]) in symbols and (right := piece[cut:]) in symbols)
+        self.keys, self.ranks, self.unions = (np.array([row[k] for row in rows] + [end], dtype=np.int64) for k, end in enumerate((1 << 62, NEVER, 0)))
+        self.symbol = np.full(0x110000, self.other, dtype=np.int64)
+        for c, number in symbols.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = number
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, union) of each pair; the rank is NEVER where they don't merge."""
+        key = left * self.base + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.unions[at]
+
+
+def encode_rows(units: list[str], pairs: Pairs, byte_ids: list[int]) -> list[list[int]]:
+    """Ids of units of similar length: a row of each table is a unit, its first and last cells are empty."""
+    lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    width = int(lengths.max()) + 2
+    inside = np.arange(width - 2) < lengths[:, None]
+    symbol = np.full((len(units), width), pairs.other + 1, dtype=np.int64)
+    symbol[:, 1:-1][inside] = pairs.symbol[np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")]
+    agenda, union = np.full(symbol.shape, NEVER, dtype=np.int64), np.zeros(symbol.shape, dtype=np.int64)
+    agenda[:, :-1], union[:, :-1] = pairs.of(symbol[:, :-1], symbol[:, 1:])
+    after = np.tile(np.arange(1, width + 1), (len(units), 1))
+    before = np.tile(np.arange(-1, width - 1), (len(units), 1))
+    rows = np.arange(len(units))
+    while rows.size:
+        open_pairs = agenda[rows]
+        i = open_pairs.argmin(axis=1)                       # the leftmost of the best
+        going = open_pairs[np.arange(rows.size), i] < NEVER
+        rows, i = rows[going], i[going]
+        j = after[rows, i]
+        k, merged = after[rows, j], union[rows, i]
+        symbol[rows, i], symbol[rows, j], agenda[rows, j] = merged, GONE, NEVER
+        after[rows, i], before[rows, k] = k, i
+        agenda[rows, i], union[rows, i] = pairs.of(merged, symbol[rows, k])
+        h = before[rows, i]
+        agenda[rows, h], union[rows, h] = pairs.of(symbol[rows, h], merged)
+    symbol = symbol[:, 1:-1]
+    left = inside & (symbol != GONE)
+    flat, ends = symbol[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+    ids = [flat[lo:hi] for lo, hi in zip([0, *ends], ends)]
+    for row in np.flatnonzero((left & (symbol >= pairs.pieces)).any(axis=1)).tolist():
+        places = np.flatnonzero(left[row]).tolist()
+        ids[row] = [x for s, at in zip(ids[row], places) for x in ((s,) if s < pairs.pieces else [byte_ids[b] for b in units[row][at].encode("utf-8")])]
+    return ids
+
+
+def encode_units(units: list[str], pieces: tuple, pairs: Pairs, byte_ids: list[int]) -> list[list[int]]:
+    """Ids of each unit, in order."""
+    out: list = [None] * len(units)
+    order = sorted(range(len(units)), key=lambda x: len(units[x]))
+    lo = 0
+    while lo < len(order):
+        longest = len(units[order[lo]])
+        if not longest or longest > ROW:
+            out[order[lo]] = encode_unit(units[order[lo]], pieces, byte_ids)
+            lo += 1
+            continue
+        hi = lo
+        while hi < len(order) and len(units[order[hi]]) <= min(ROW, longest + 3) and (hi - lo) * (longest + 5) < CELLS:
+            hi += 1
+        part = order[lo:hi]
+        for x, ids in zip(part, encode_rows([units[x] for x in part], pairs, byte_ids)):
+            out[x] = ids
+        lo = hi
+    return out
 
 
 def encode_unit(unit: str, pieces: dict, byte_ids: list[int]) -> list[int]:
@@ -105,7 +191,7 @@ def _encode(path: str, whole: int):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("checked", pa.bool_())])
 
     def run(batches):
-        library, pieces, byte_ids, known = load(path)
+        library, pieces, byte_ids, known, pairs = load(path)
         count = 0
         for batch in batches:
             texts = batch.column("text")
@@ -117,8 +203,8 @@ def _encode(path: str, whole: int):
                 if len(known) + len(new) > REMEMBERED:
                     known.clear()
                     new = list({u for us in units for u in us})
-                for u, theirs in zip(new, library.encode([u[1:].replace(SPACE, " ") for u in new], num_threads=1) if new else ()):
-                    ids = encode_unit(u, pieces, byte_ids)
+                library_ids = library.encode([u[1:].replace(SPACE, " ") for u in new], num_threads=1) if new else ()
+                for u, ids, theirs in zip(new, encode_units(new, pieces, pairs, byte_ids), library_ids):
                     known[u] = ids
                     if ids != theirs and len(u) > 1:        # a lone sign is the library's empty text
                         wrong.add(u)
