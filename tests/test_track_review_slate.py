@@ -1,5 +1,4 @@
 import datetime as dt
-import random
 
 from pyspark.sql import functions as F
 
@@ -62,54 +61,44 @@ def test_evidence_and_notes(spark):
     assert v.hits == 26 and v.verdict == "in line with" and R.event_facts(b).first().dq_misses == 7
 
 
-def py_diff(old, new):
-    key = lambda p: tuple(sorted(x.lower() for x in p))
-    before, after = {key(p): p for p in old}, {key(p): p for p in new}
-    gone, come, out = [k for k in before if k not in after], [k for k in after if k not in before], set()
-    for g in list(gone):
-        hit = next((c for c in come if len(set(g) & set(c)) == 1), None)
-        if hit:
-            stay = (set(g) & set(hit)).pop()
-            pick = lambda p, yes: next(x for x in p if (x.lower() == stay) == yes)
-            out.add(("replaced", pick(after[hit], False), pick(after[hit], True), pick(before[g], False)))
-            gone.remove(g)
-            come.remove(hit)
-    return out | {("added", *after[k], None) for k in come} | {("removed", *before[k], None) for k in gone}
-
-
-def test_slate_diff_equals_ordered_greedy(spark):
-    rng = random.Random(11)
-    old_rows, new_rows, want = [], [], {}
-    for e in range(40):
-        people = [f"P{i}" for i in range(7)]
-        def slate():
-            out, seen = [], set()
-            for _ in range(4):
-                p = tuple(rng.sample(people, 2))
-                if frozenset(p) not in seen:
-                    seen.add(frozenset(p))
-                    out.append(p)
-            return out
-        old, new = slate(), slate()
-        want[str(e)] = py_diff(old, new)
-        old_rows += [(str(e), i, *p) for i, p in enumerate(old)]
-        new_rows += [(str(e), i, *p) for i, p in enumerate(new)]
+# Slates as "x-y" bouts in listed order, and the changes between them as (kind, name_1, name_2, out_name).
+SLATES = {
+    "same pairs, other order and sides": (["Ada-Bel", "Cid-Dot"], ["Dot-Cid", "Bel-Ada"], set()),
+    "a bout more, a bout less": (["Ada-Bel", "Cid-Dot"], ["Ada-Bel", "Eli-Fay"], {("added", "Eli", "Fay", None), ("removed", "Cid", "Dot", None)}),
+    "one side stands in": (["Ada-Bel"], ["Gus-Ada"], {("replaced", "Gus", "Ada", "Bel")}),
+    "two stand in for each other's rivals": (["Ada-Bel", "Cid-Dot"], ["Ada-Dot", "Cid-Bel"], {("replaced", "Dot", "Ada", "Bel"), ("replaced", "Bel", "Cid", "Dot")}),
+    "first listed takes the shared name": (["Ada-Bel", "Ada-Cid"], ["Ada-Dot"], {("replaced", "Dot", "Ada", "Bel"), ("removed", "Ada", "Cid", None)}),
+    "one bout less, two with its side": (["Hal-Ivy"], ["Ivy-Joy", "Ivy-Kim"], {("replaced", "Joy", "Ivy", "Hal"), ("added", "Ivy", "Kim", None)}),
+    "chain": (["Ada-Bel", "Bel-Cid"], ["Cid-Dot", "Ada-Eli"], {("replaced", "Eli", "Ada", "Bel"), ("replaced", "Dot", "Cid", "Bel")}),
+    "all new": (["Ada-Bel"], ["Cid-Dot"], {("added", "Cid", "Dot", None), ("removed", "Ada", "Bel", None)}),
+}
+
+
+def test_slate_changes_batch_and_stream(spark):
+    def rows(which):
+        return [(e, i, *bout.split("-")) for e, versions in SLATES.items() for i, bout in enumerate(versions[which])]
+
+    def found(df):
+        got = {}
+        for r in df.collect():
+            got.setdefault(r.event_id, set()).add((r.kind, r.name_1, r.name_2, r.out_name))
+        return got
+    want = {e: v[2] for e, v in SLATES.items() if v[2]}
     schema = "event_id string, bout_order int, name_1 string, name_2 string"
-    old, new = spark.createDataFrame(old_rows, schema), spark.createDataFrame(new_rows, schema)
-    got = {}
-    for r in L.slate_changes(old, new).collect():
-        got.setdefault(r.event_id, set()).add((r.kind, r.name_1, r.name_2, r.out_name))
-    assert got == {k: v for k, v in want.items() if v}
-    # the streaming form sees the same changes
+    old = spark.createDataFrame([*rows(0), ("vanished", 0, "Ada", "Bel")], schema)
+    new = spark.createDataFrame([*rows(1), ("came later", 0, "Ada", "Bel")], schema)
+    assert found(L.slate_changes(old, new)) == want
     doc = lambda df, v: df.groupBy("event_id").agg(F.lit(v).alias("version"), F.collect_list(F.struct("bout_order", "name_1", "name_2")).alias("bouts"))
-    path = shared_path(spark, "docs")
-    docs = doc(old, 1).unionByName(doc(new, 2))
-    docs.write.parquet(path)
-    stream = S.slate_diff_stream(spark.readStream.schema(docs.schema).parquet(path))
-    streamed = {}
-    for r in S.run_to_table(stream, shared_path(spark, "out"), shared_path(spark, "ck")).collect():
-        streamed.setdefault(r.event_id, set()).add((r.kind, r.name_1, r.name_2, r.out_name))
-    assert streamed == got
+    # one batch with both versions; then a second batch with the newer, and a third with an older one, which changes nothing
+    path, out, ck = shared_path(spark, "docs"), shared_path(spark, "out"), shared_path(spark, "ck")
+    schema = doc(old, 1).schema
+
+    def arrive(docs):
+        docs.coalesce(1).write.mode("append").parquet(path)
+        return found(S.run_to_table(S.slate_diff_stream(spark.readStream.schema(schema).parquet(path)), out, ck))
+    assert arrive(doc(old, 1)) == {}
+    assert arrive(doc(new, 3)) == want
+    assert arrive(doc(old, 2)) == want
 
 
 def test_late_changes(spark):
