@@ -121,3 +121,22 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_crf.extract(pages).collect()}
     assert got[1] == "Big news of the day One & two, and more words here. Three fourty lines of text, it says." and got[2] == got[3] == ""
     assert html_crf.extract(pages.limit(0)).count() == 0
+
+
+def test_row_agendas_equal_heaps():
+    """Units of all lengths and of characters in and outside the vocabulary: rows, heaps and the library agree."""
+    import random
+
+    from duelframe.llm import queries, sentencepiece_bpe as bpe
+
+    library, pieces, byte_ids, _, pairs = bpe.load(queries.vocabulary())
+    rng = random.Random(5)
+    known = sorted(pieces[1])
+    units = [bpe.SPACE + "".join(rng.choice(known).replace(bpe.SPACE, "") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    units += [bpe.SPACE + "".join(chr(rng.choice([rng.randint(33, 600), rng.randint(0x4E00, 0x4FFF), rng.randint(0x1F300, 0x1F6FF)])) for _ in range(rng.randint(1, 90))) for _ in range(1000)]
+    units += [bpe.SPACE + "a" * n for n in range(1, 140)]
+    rows = bpe.encode_units(units, pieces, pairs, byte_ids)
+    assert rows == [bpe.encode_unit(u, pieces, byte_ids) for u in units]
+    plain = [i for i, u in enumerate(units) if u.isascii() or u[1:].isalpha()]
+    assert sum(rows[i] != library.encode(units[i][1:]) for i in plain) == 0
+    assert bpe.encode_units([], pieces, pairs, byte_ids) == []
