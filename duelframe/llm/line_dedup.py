@@ -44,29 +44,35 @@ def _needed(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def _ranked(tokens: Column, counts: list[int]) -> Column:
-    """Distinct tokens as sort keys: frequency class of the token's cell above 48 bits of the token."""
-    classes = F.split(F.lit(",".join(str(c) for c in counts)), ",").cast("array<int>")        # folded into one literal array
-    key = lambda t: F.shiftleft(F.get(classes, F.pmod(t, F.lit(len(counts))).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(t, 16))
-    return F.sort_array(F.array_distinct(F.transform(tokens, key)))
+def _cell(token: Column) -> Column:
+    """Cell of the count sketch: the token's uppermost bits."""
+    return F.shiftrightunsigned(token, 64 - (CELLS.bit_length() - 1)).cast("int")
+
+
+def _ranked(tokens: Column, classes: list[int]) -> Column:
+    """Distinct tokens in order of rarity: frequency class of the token's cell above 48 bits of the token."""
+    high = F.split(F.lit(",".join(str(c << 48) for c in classes)), ",").cast("array<bigint>")        # folded into one literal array
+    return F.sort_array(F.transform(tokens, lambda t: F.get(high, _cell(t)).bitwiseOR(F.shiftrightunsigned(t, 16))))
 
 
 def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, row, pos) of the lines that an earlier line matches."""
-    tokens = lines_of(docs).select("doc_id", "row", "pos", shingle_hashes(F.col("line"), width).alias("t")).filter("size(t) > 0").persist(StorageLevel.MEMORY_AND_DISK)
-    cells = tokens.select(F.explode("t").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).alias("cell")).count().collect()
+    tokens = (lines_of(docs).select("doc_id", "row", "pos", F.sort_array(F.array_distinct(shingle_hashes(F.col("line"), width))).alias("t")).filter("size(t) > 0")
+              .select("doc_id", "row", "pos", F.xxhash64("t").alias("node"), "t").persist(StorageLevel.MEMORY_AND_DISK))
+    cells = tokens.select(F.explode("t").alias("t")).groupBy(_cell(F.col("t")).alias("cell")).count().collect()
     total = max(1, sum(r["count"] for r in cells))
-    counts = [0] * CELLS
+    classes = [0] * CELLS
     for r in cells:         # powers of two above the mean cell
-        counts[r["cell"]] = max(0, int(2 * r["count"] * CELLS // total).bit_length() - 1)
-    keyed = tokens.select("doc_id", "row", "pos", _ranked(F.col("t"), counts).alias("k"))
-    prefix = keyed.select(let(F.col("k"), lambda k: F.struct(F.xxhash64(k).alias("node"), F.size(k).alias("n"), F.slice(k, F.lit(1), _needed(F.size(k), percent)).alias("prefix"))).alias("d"))
-    postings = prefix.select("d.node", "d.n", F.posexplode("d.prefix").alias("i", "token")).select("token", "node", "n", "i")
+        classes[r["cell"]] = max(0, int(2 * r["count"] * CELLS // total).bit_length() - 1)
+    prefix = F.slice(_ranked(F.col("t"), classes), F.lit(1), _needed(F.size("t"), percent))
+    # size and position share one number: these rows are the widest exchange
+    postings = (tokens.select("node", F.size("t").alias("n"), F.posexplode(prefix).alias("i", "token"))
+                .select("token", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("at")))
     group = W.partitionBy("token")
-    shared = (postings.withColumn("lo", F.min("node").over(group)).withColumn("hi", F.max("node").over(group)).filter("lo <> hi")
-              .select("token", "node", "n", "i").distinct())
+    shared = (postings.withColumn("lo", F.min("node").over(group)).withColumn("hi", F.max("node").over(group)).filter("lo <> hi").select("token", "node", "at").distinct()
+              .select("token", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).cast("int").alias("i")))
     shared = cut_lineage(shared, "shared")
-    lines = cut_lineage(keyed.select("doc_id", "row", "pos", F.xxhash64("k").alias("node")), "lines")
+    lines = cut_lineage(tokens.select("doc_id", "row", "pos", "node"), "lines")
     tokens.unpersist()
 
     firsts = cut_lineage(lines.groupBy("node").agg(F.min(F.struct("doc_id", "pos", "row")).alias("f"), F.count(F.lit(1)).alias("lines")).select("node", "f.*", "lines"), "classes")
