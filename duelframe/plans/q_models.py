@@ -118,10 +118,10 @@ def _contrib(spark, d):
 @query("top_drivers", """WITH g AS (SELECT l_orderkey AS row_id, grp, round(sum(v), 6) AS logodds FROM (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'age' WHEN 1 THEN 'stance' ELSE 'reach_in' END AS grp,
   CASE WHEN l_linestatus = 'F' THEN l_quantity / 100 * 0.5 ELSE l_quantity / 100 * -0.5 END AS v FROM lineitem) GROUP BY 1, 2)
   SELECT row_id, CASE WHEN logodds > 0 THEN 1 ELSE 2 END AS side, grp, logodds, row_number() OVER (PARTITION BY row_id, logodds > 0 ORDER BY abs(logodds) DESC, grp)::INT AS rank FROM g WHERE abs(logodds) > 0.02
-  QUALIFY row_number() OVER (PARTITION BY row_id, logodds > 0 ORDER BY abs(logodds) DESC, grp) <= 2""")
+  QUALIFY row_number() OVER (PARTITION BY row_id, logodds > 0 ORDER BY abs(logodds) DESC, grp) <= 3""")
 def _(spark, d):
     g = L.contribution_groups(*_contrib(spark, d), "row_id").withColumn("logodds", F.round("logodds", 6))
-    return L.top_drivers(g, "row_id", k=2).select("row_id", "side", "grp", "logodds", "rank")
+    return L.top_drivers(g, "row_id", k=3).select("row_id", "side", "grp", "logodds", "rank")
 
 
 def _stored_features(spark, d):
@@ -157,12 +157,23 @@ def _(spark, d):
     return M.contest_scores(m.score(f.filter("split = 'test'"))).withColumn("p", F.round("p", 6))
 
 
-@query("fold_guard")
+_SPLIT = f"CASE WHEN event_date < DATE '{V.TRAIN_END}' THEN 'train' WHEN event_date < DATE '{V.VALID_END}' THEN 'valid' ELSE 'test' END"
+
+
+@query("fold_guard", sql(f"""SELECT {_SPLIT} AS split, min(event_date) AS first_day, count(*) * 2 AS rows, min(event_date) <= (SELECT max(event_date) FROM target WHERE event_date < DATE '{V.TRAIN_END}') AS refused
+  FROM target GROUP BY 1""", "target"))
 def _(spark, d):
-    f = _stored_features(spark, d)
+    """What the guard says to an evaluation of each split by a model that was fitted on the training split."""
+    f = cut_lineage(V.features(spark, d).select("split", "event_date"), "days")
     until = P.fit_window(f.filter("split = 'train'"))
-    first = F.min("event_date")
-    return f.groupBy("split").agg(first.alias("first_day"), (first <= F.lit(until)).alias("refused"))
+    verdicts = []
+    for split in ("train", "valid", "test"):
+        try:
+            P.assert_fit_before(until, f.filter(F.col("split") == split), split)
+            verdicts.append(F.when(F.col("split") == split, False))
+        except P.FoldLeakError:
+            verdicts.append(F.when(F.col("split") == split, True))
+    return f.groupBy("split").agg(F.min("event_date").alias("first_day"), F.count(F.lit(1)).alias("rows")).withColumn("refused", F.coalesce(*verdicts))
 
 
 @query("score_slate")
@@ -184,10 +195,19 @@ def _(spark, d):
     return M.contest_scores(scored).select("contest_id", "event_date", F.round("p", 4).alias("p_1"), (F.round(1 - F.round("p", 4), 4)).alias("p_2"))
 
 
-@query("promotion_report")
+_GATES = {"same": "", "unchecked": "provenance: features were not checked", "changed_features": "provenance: features changed after the check; backtest: run on different features",
+          "no_backtest": "backtest: not run"}
+
+
+@query("promotion_report", sql("WITH n AS (SELECT count(*) * 2 AS rows FROM target) " + " UNION ALL ".join(
+    f"SELECT '{case}' AS case_name, rows{' - 2' if case == 'changed_features' else ''} AS rows, '{reasons}' AS reasons FROM n" for case, reasons in _GATES.items()), "target"))
 def _(spark, d):
+    """The gates for a feature table as checked, never checked, short of one contest since the check, and never backtested."""
     f = _stored_features(spark, d)
-    now = G.fingerprint(f).first().asDict()
-    backtest = {"slices": [r["cutoff"] for r in L.slices(f.select("event_date"), CUTOFFS).groupBy("cutoff").count().collect()], "fingerprint": now}
-    failed = L.promotion_gates(now, now, backtest)
-    return G.fingerprint(f).select("rows", F.lit(len(failed)).alias("failed_gates"), F.lit("; ".join(failed)).alias("reasons"))
+    checked = G.fingerprint(f.repartition(7)).first().asDict()
+    gone = f.agg(F.max("contest_id")).first()[0]
+    short = G.fingerprint(f.filter(F.col("contest_id") != gone)).first().asDict()
+    backtest = {"slices": [r["cutoff"] for r in L.slices(f.select("event_date"), CUTOFFS).groupBy("cutoff").count().collect()], "fingerprint": checked}
+    cases = {"same": (checked, checked, backtest), "unchecked": (checked, None, backtest), "changed_features": (short, checked, backtest), "no_backtest": (checked, checked, None)}
+    rows = [(name, now["rows"], "; ".join(L.promotion_gates(now, *rest))) for name, (now, *rest) in cases.items()]
+    return spark.createDataFrame(rows, "case_name string, rows long, reasons string")

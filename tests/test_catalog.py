@@ -5,7 +5,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import TABLES, cell
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["asof_strict_state", "signed_streak", "first_in_division", "calibration_table", "roc_auc", "evidence_board", "prediction_result_match", "note_attach", "group_median", "insert_only_merge"]
+CHECKED = ["tie_coin", "dataset_fingerprint", "asof_strict_state", "signed_streak", "first_in_division", "calibration_table", "roc_auc", "evidence_board", "prediction_result_match", "note_attach", "group_median", "insert_only_merge"]
 
 
 def test_every_oracle_has_a_query():
