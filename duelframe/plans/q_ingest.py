@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
@@ -9,6 +10,7 @@ from ..operators import ingest as I
 from ..operators import merge as G
 from ..operators import quality as Q
 from ..operators.running import sequence_in_group
+from ..session import shared_path
 from ..sources import files
 from . import source_views as S
 from . import views as V
@@ -173,6 +175,17 @@ def _(spark, d):
     return C.export_columns(C.typed(_order_strings(spark, d), schema), schema)
 
 
+@query("sorted_export", """SELECT o_orderkey, o_orderdate, o_custkey, true AS in_order FROM orders""")
+def _(spark, d):
+    """Orders as a stored table sorted by (day, key), read back with each row compared to the one before it in its file."""
+    path, keys = shared_path(spark, "sorted"), ["o_orderdate", "o_orderkey"]
+    files.write_sorted(V.table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), path, keys)
+    stored = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = W.partitionBy("file").orderBy("at")
+    key = F.struct(*keys)
+    return stored.select("o_orderkey", "o_orderdate", "o_custkey", F.coalesce(F.lag(key).over(before) <= key, F.lit(True)).alias("in_order"))
+
+
 @query("scan_trimmed_strings", "SELECT c_custkey::VARCHAR AS id, trim(c_name) AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment, 'NA' AS na FROM customer")
 def _(spark, d):
     path = files.write_strings(V.table(spark, d, "customer").select(

@@ -142,12 +142,14 @@ def _(spark, d):
     return M.contest_scores(m.score(rows)).withColumn("p", F.round("p", 6))
 
 
-@query("linear_contributions")
+@query("linear_contributions", sql(f"""SELECT contest_id, o.orientation, {len(_MODEL_COLUMNS)} AS terms, true AS adds_up FROM target, (VALUES (0), (1)) o(orientation)
+  WHERE event_date >= DATE '{V.VALID_END}'""", "target"))
 def _(spark, d):
+    """Whether each row's contributions and the bias add up to the logit of its probability."""
     f, m = _fitted(spark, d)
     c = m.contributions(f.filter("split = 'test'"))
     total = F.aggregate("contrib", F.lit(0.0), lambda a, x: a + x["value"]) + F.col("bias")
-    return c.select("contest_id", "orientation", F.round(total, 6).alias("logit"), F.round(F.log(F.col("p") / (1 - F.col("p"))), 6).alias("logit_of_p"))
+    return c.select("contest_id", "orientation", F.size("contrib").alias("terms"), (F.abs(total - F.log(F.col("p") / (1 - F.col("p")))) < 1e-6).alias("adds_up"))
 
 
 @query("gbt_fit_score")
