@@ -5,7 +5,8 @@ Base identifiers are found in the text itself: e-mail addresses, IPv4 addresses,
 text in which every character knows the source characters it stands for: look-alike letters and
 digits become ASCII, zero-width characters vanish, runs of spelled digits become digits, and
 at/dot disguises become signs. The same detectors run on it and each match is mapped back; a match that
-touches a base span of its kind is dropped, so base spans stay as they are.
+equals a base span of its kind or lies inside one is dropped, a wider or differing one stands beside it.
+Base spans stay as they are.
 
 Null and empty texts have no spans; repeated rows are judged alike; an empty table gives an empty result;
 columns other than doc_id and text are left out.
@@ -134,7 +135,7 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     added = set()
     for kind, a, b in detect(trace.text):
         lo, hi = min(trace.start[a:b]), max(trace.end[a:b])
-        if not any(k == kind and s < hi and lo < e for k, s, e in base):
+        if not any(k == kind and s <= lo and hi <= e for k, s, e in base):
             added.add((kind, lo, hi))
     return base, sorted(added, key=order)
 

@@ -100,6 +100,14 @@ def test_personal_data(spark, docs, none):
         assert (want[0], text.index(want[1]), text.index(want[1]) + len(want[1])) in base + added, (text, base, added)
 
 
+def test_disguise_around_a_base_span():
+    """A plain remainder that is an identifier of its own stays, and the whole disguised one stands beside it."""
+    for text, plain in {"jоe@mail.com": "e@mail.com", "joe@mail.cоm": "joe@mail.c", "joe@mail.example [dot] com": "joe@mail.example", "ann dot lee@site.com": "lee@site.com"}.items():
+        at = text.index(plain)
+        assert personal_data.find("to " + text + " now") == ([("email", 3 + at, 3 + at + len(plain))], [("email", 3, 3 + len(text))]), text
+    assert personal_data.find("joe@mail.com and ten [dot] net")[1] == []
+
+
 def test_fingerprints(docs, none):
     got = {r.doc_id: r for r in fingerprints.compared(docs).collect()}
     assert got[1].fingerprint == got[4].fingerprint and got[2].fingerprint == got[3].fingerprint == got[5].fingerprint == fingerprints.EMPTY
