@@ -43,8 +43,10 @@ _NAME = r"[A-Za-z0-9%+_-]"
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT = re.compile(rf"(?<={_NAME}){_OPEN}(?:at|@){_CLOSE}(?={_NAME})", re.I)
 _DOT = re.compile(rf"(?<={_NAME}){_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}(?={_NAME})", re.I)
-_BARE = re.compile(rf"(?<={_NAME})(\s+at\s+)(?={_NAME}+(?:\s+dot\s+{_NAME}+)+)|(?<={_NAME})(\s+dot\s+)(?={_NAME})", re.I)
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}}>]|\sdot\s|(?<![A-Za-z])(?:{_WORD})[\s,.-]+(?:{_WORD})(?![A-Za-z])", re.I)
+# After ' at ' a domain: names joined by ' dot ', or by '.' (signs that _DOT wrote among them) where the last one has a letter.
+_BARE = re.compile(rf"(?<={_NAME})(\s+at\s+)(?={_NAME}+(?:(?:\.|\s+dot\s+){_NAME}+)*(?:\s+dot\s+{_NAME}|\.[0-9%+_-]*[A-Za-z]))|(?<={_NAME})(\s+dot\s+)(?={_NAME})", re.I)
+# Matches wherever one of the patterns above does: brackets, ' dot ', ' at ' before a dotted name, a spelled digit next to another or to a figure.
+_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}}>]|\sdot\s|\sat\s+{_NAME}+\.|(?<![A-Za-z])(?:{_WORD})[\s,.-]+(?:{_WORD}|[0-9])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -129,15 +131,25 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     """(base spans, spans added by the transducer), each by start and kind."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(detect(text), key=order)
-    if text.isascii() and not _HINT.search(text) or not text.isascii() and not (_ODD.search(text) or _HINT.search(text)):
+    if plain(text):
         return base, []
+    return base, sorted(hidden(text, base), key=order)
+
+
+def plain(text: str) -> bool:
+    """Nothing in the text is rewritten by `normalise`."""
+    return (text.isascii() or not _ODD.search(text)) and not _HINT.search(text)
+
+
+def hidden(text: str, base: list[tuple[str, int, int]]) -> set[tuple[str, int, int]]:
+    """Spans of the normalised text that are no part of a base span of their kind."""
     trace = normalise(text)
     added = set()
     for kind, a, b in detect(trace.text):
         lo, hi = min(trace.start[a:b]), max(trace.end[a:b])
         if not any(k == kind and s <= lo and hi <= e for k, s, e in base):
             added.add((kind, lo, hi))
-    return base, sorted(added, key=order)
+    return added
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:

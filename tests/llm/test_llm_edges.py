@@ -108,6 +108,31 @@ def test_disguise_around_a_base_span():
     assert personal_data.find("joe@mail.com and ten [dot] net")[1] == []
 
 
+def test_mixed_disguises():
+    for text in ("ann at example (dot) com", "ann at mail.example dot com", "ann at example.com", "ann (at) example dot com", "ann at mail dot example.com", "ann at mail [dot] example dot com"):
+        assert personal_data.find("to " + text + " now") == ([], [("email", 3, 3 + len(text))]), text
+    number = "plus four 4 two 0 seven 9 four 6 one 2 three"
+    assert personal_data.find("ring " + number) == ([], [("phone", 5, 5 + len(number))])
+    for text in ("we met at 10.30 and at 10.0.0.7", "meet me at home. Then go", "at one dot"):
+        assert personal_data.find(text) == (personal_data.detect(text), []), text
+
+
+def test_exit_misses_nothing():
+    """A text that the exit takes for plain has no hidden span and is not rewritten."""
+    import random
+
+    rng = random.Random(6)
+    parts = ["ann", "mail", "com", "at", "At", "dot", "DOT", "[dot]", "(at)", "<.>", "@", ".", "plus", "+", "one", "Two", "oh", "zero", "seven", "4", "0", "79", "10.0", "jо", "é", "x_", "-", ",", "punkt", "{ punto }"]
+    seen = [0, 0]
+    for _ in range(40_000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", " ", "\n", "  "]) for _ in range(rng.randint(2, 14)))
+        exits = personal_data.plain(text)
+        seen[exits] += 1
+        if exits:
+            assert personal_data.normalise(text).text == text and not personal_data.hidden(text, personal_data.detect(text)), text
+    assert min(seen) > 1000, seen
+
+
 def test_fingerprints(docs, none):
     got = {r.doc_id: r for r in fingerprints.compared(docs).collect()}
     assert got[1].fingerprint == got[4].fingerprint and got[2].fingerprint == got[3].fingerprint == got[5].fingerprint == fingerprints.EMPTY
