@@ -358,16 +358,25 @@ def _(spark, d):
     return Q.count_checks(Q.processed_checks(_typed_tables(spark, d)))
 
 
+def _raw_counts(spark, d):
+    t = _typed_tables(spark, d)
+    t["stats"] = V.stats(spark, d)
+    return Q.count_checks(Q.raw_checks(t, S.TODAY)).select("check", "violations")
+
+
+@query("quality_checks_raw_all")
+def _(spark, d):
+    return _raw_counts(spark, d)
+
+
 @query("quality_checks_raw", sql(f"""SELECT "check", violations FROM (VALUES ('contests with 0 stat rows', (SELECT count(*) FROM contest WHERE NOT has_stats)),
   ('landed > attempted', 0), ('td_landed > td_attempted', 0), ('ctrl_sec > duration_sec', (SELECT count(*) FROM stats WHERE ctrl_sec > duration_sec)),
   ('events dated in the future', (SELECT count(DISTINCT event_id) FROM slated WHERE NOT {_PLACED})),
   ('contests whose event is not in events', (SELECT count(*) FROM contest WHERE is_prior)), ('contest entity ids not in entities', 0)) v("check", violations)""", "slated", "stats"))
 def _(spark, d):
-    t = _typed_tables(spark, d)
-    t["stats"] = V.stats(spark, d)
-    counts = Q.count_checks(Q.raw_checks(t, S.TODAY)).select("check", "violations")
-    return counts.filter(F.col("check").isin("contests with 0 stat rows", "landed > attempted", "td_landed > td_attempted", "ctrl_sec > duration_sec",
-                                             "events dated in the future", "contests whose event is not in events", "contest entity ids not in entities"))
+    """The seven checks of the SQL; `quality_checks_raw_all` has every one."""
+    return _raw_counts(spark, d).filter(F.col("check").isin("contests with 0 stat rows", "landed > attempted", "td_landed > td_attempted", "ctrl_sec > duration_sec",
+                                                            "events dated in the future", "contests whose event is not in events", "contest entity ids not in entities"))
 
 
 @query("null_profile", sql("""SELECT 'entity' AS table, * FROM (SELECT 'entity_id' AS column, 0 AS nulls, count(*) AS rows FROM entity UNION ALL SELECT 'name', 0, count(*) FROM entity

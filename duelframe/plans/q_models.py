@@ -18,7 +18,9 @@ from .registry import query
 from .views import r6
 
 CUTOFFS = [("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01"), ("2001-01-01", None)]
-_MODEL_COLUMNS = ["diff_win_rate", "diff_streak", "diff_n_contests", "diff_height_in", "diff_reach_in", "diff_age", "diff_landed_p15", "diff_td_acc"]
+_MODEL_COLUMNS = [c for c in M.numeric_feature_columns() if c.startswith("diff_")]
+#: The most trees of a model; early stopping picks the number.
+_TREES = 3000
 
 # Bio of both sides of every target contest, one row per orientation 0 row.
 _PHYS = f"""phys AS (SELECT t.contest_id, t.event_date, coalesce(t.division, '?') AS division, {", ".join(
@@ -130,23 +132,29 @@ def _stored_features(spark, d):
 
 
 def _fitted(spark, d):
+    """Features, the logistic model tuned on the validation split, and the same fitted on all rows before the test split."""
     f = _stored_features(spark, d)
-    return f, L.LogisticModel(_MODEL_COLUMNS, 0.1).fit(f.filter("split = 'train'"))
+    m = L.tune_logistic(f.filter("split = 'train'"), f.filter("split = 'valid'"), _MODEL_COLUMNS)
+    return f, m, L.refit(m, f.filter("split <> 'test'"))
 
 
-@query("logistic_fit_score")
-def _(spark, d):
-    f, m = _fitted(spark, d)
-    rows = f.filter("split <> 'train'")
+def _guarded(m, rows):
     P.assert_fit_before(m.fitted_until, rows, m.name)
     return M.contest_scores(m.score(rows)).withColumn("p", F.round("p", 6))
 
 
+@query("logistic_fit_score")
+def _(spark, d):
+    """Validation contests by the model of the training split, test contests by the one of both."""
+    f, m, final = _fitted(spark, d)
+    return _guarded(m, f.filter("split = 'valid'")).unionByName(_guarded(final, f.filter("split = 'test'")))
+
+
 @query("linear_contributions", sql(f"""SELECT contest_id, o.orientation, {len(_MODEL_COLUMNS)} AS terms, true AS adds_up FROM target, (VALUES (0), (1)) o(orientation)
   WHERE event_date >= DATE '{V.VALID_END}'""", "target"))
 def _(spark, d):
     """Whether each row's contributions and the bias add up to the logit of its probability."""
-    f, m = _fitted(spark, d)
+    f, _, m = _fitted(spark, d)
     c = m.contributions(f.filter("split = 'test'"))
     total = F.aggregate("contrib", F.lit(0.0), lambda a, x: a + x["value"]) + F.col("bias")
     return c.select("contest_id", "orientation", F.size("contrib").alias("terms"), (F.abs(total - F.log(F.col("p") / (1 - F.col("p")))) < 1e-6).alias("adds_up"))
@@ -155,8 +163,25 @@ def _(spark, d):
 @query("gbt_fit_score")
 def _(spark, d):
     f = _stored_features(spark, d)
-    m = L.TreeModel(numeric=_MODEL_COLUMNS, trees=5, depth=2).fit(f.filter("split = 'train'"), f.filter("split = 'valid'"))
-    return M.contest_scores(m.score(f.filter("split = 'test'"))).withColumn("p", F.round("p", 6))
+    m = L.tune_trees(f.filter("split = 'train'"), f.filter("split = 'valid'"), trees=_TREES)
+    return _guarded(L.refit(m, f.filter("split <> 'test'")), f.filter("split = 'test'"))
+
+
+@query("walk_forward_models")
+def _(spark, d):
+    """Rule, logistic and tree model per cut-off: tuned on the year before it, fitted on everything before it, tested
+    behind it; `chosen` has the lowest log loss of that year. `walk_forward_slices` is the rule alone in one job."""
+    f, chosen = _stored_features(spark, d), []
+
+    def tune(train, valid):
+        models = L.candidates(train, valid, _MODEL_COLUMNS, _TREES)
+        best = L.choose(models, valid)
+        chosen.extend(m is best for m in models)
+        return models
+    out = L.walk_forward(f, CUTOFFS, tune)
+    rows = [(r["cutoff"], r["model"], r["fitted_until"], r["n_contests"], best, r["brier"], r["log_loss"]) for r, best in zip(out, chosen, strict=True)]
+    w = spark.createDataFrame(rows, "cutoff string, model string, fitted_until string, n_contests long, chosen boolean, brier double, log_loss double")
+    return w.withColumns({c: r6(c) for c in ("brier", "log_loss")})
 
 
 _SPLIT = f"CASE WHEN event_date < DATE '{V.TRAIN_END}' THEN 'train' WHEN event_date < DATE '{V.VALID_END}' THEN 'valid' ELSE 'test' END"
@@ -191,7 +216,8 @@ def _(spark, d):
     feats = M.entity_features(states, H.division_days(past), V.entity(spark, d), M.side_probes(slate))
     rows = cut_lineage(M.matchup_columns(M.orientations(M.pair_features(slate, feats))), "slate")
     train = cut_lineage(V.features(spark, d).filter(day <= F.date_sub(F.lit(last), 30)), "train")
-    m = L.LogisticModel(_MODEL_COLUMNS, 0.1).fit(train)
+    year = F.add_months(F.date_sub(F.lit(last), 30), -12)       # C is chosen on the last year before the slate
+    m = L.refit(L.tune_logistic(train.filter(day < year), train.filter(day >= year), _MODEL_COLUMNS), train)
     P.assert_fit_before(m.fitted_until, rows, m.name)
     scored = m.score(rows.withColumn("target", F.lit(0)))
     return M.contest_scores(scored).select("contest_id", "event_date", F.round("p", 4).alias("p_1"), (F.round(1 - F.round("p", 4), 4)).alias("p_2"))

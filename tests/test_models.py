@@ -94,3 +94,52 @@ def test_gates_and_walk_forward(spark):
     assert w["2000-03-01"].n_fit == 60 and w["2000-03-01"].n_contests == 61 and w["2000-05-01"].n_contests == 200 - 121
     out = L.walk_forward(r, [("2000-05-01", None)], lambda tr, va: [L.LogisticModel(COLS, 1.0).fit(tr)], inner_years=0)
     assert out[0]["model"] == "logistic" and out[0]["fitted_until"] == "2000-04-30"
+
+
+def test_queries_tune_over_all_columns(spark, monkeypatch):
+    """Each model query hands all its columns to the whole grid."""
+    from duelframe.operators.matchup import ENTITY_FEATURES
+    from duelframe.plans import q_models as Q
+    from duelframe.plans.catalog import QUERIES
+
+    class Stop(Exception):
+        pass
+    asked = {}
+
+    def tune_logistic(train, valid, columns, grid=L.C_GRID):
+        asked["logistic"] = (columns, grid)
+        raise Stop
+
+    def tune_trees(train, valid, **fixed):
+        asked["trees"] = fixed
+        raise Stop
+    f = rows(spark, 40).withColumn("split", F.when(F.col("contest_id") < 20, "train").when(F.col("contest_id") < 30, "valid").otherwise("test"))
+    monkeypatch.setattr(Q, "_stored_features", lambda *_: f)
+    monkeypatch.setattr(L, "tune_logistic", tune_logistic)
+    monkeypatch.setattr(L, "tune_trees", tune_trees)
+    for name in ("logistic_fit_score", "linear_contributions", "gbt_fit_score"):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, "")
+    assert asked == {"logistic": ([f"diff_{c}" for c in ENTITY_FEATURES], L.C_GRID), "trees": {"trees": 3000}}
+
+
+def test_early_stopping_waits_for_a_worse_tree(spark):
+    train, valid = rows(spark, 120), rows(spark, 60, dt.date(2001, 6, 1), 4)
+    grown = {tol: L.TreeModel(numeric=["diff_reach_in"], categorical=["division"], trees=6, depth=2, step=0.01, tolerance=tol).fit(train, valid).pipe.stages[-1].getNumTrees for tol in (0.0, 0.01)}
+    assert grown[0.01] == 1 <= grown[0.0] and L.TreeModel().tolerance == 0.0
+
+
+def test_all_raw_checks_are_counted(spark, monkeypatch):
+    from duelframe.plans import q_ingest as Q
+    from duelframe.plans.catalog import QUERIES
+
+    tables = Q._typed_tables
+
+    def planted(spark, d):
+        t = tables(spark, d)
+        one = t["contests"].agg(F.min("contest_id")).first()[0]
+        t["contests"] = t["contests"].withColumn("result", F.when(F.col("contest_id") == one, "odd").otherwise(F.col("result")))
+        return t
+    monkeypatch.setattr(Q, "_typed_tables", planted)
+    got = {r.check: r.violations for r in QUERIES["quality_checks_raw_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) > 15 and got["result not in win/draw/nc"] == 1 and got["events with no contests"] == 0
