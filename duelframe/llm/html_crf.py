@@ -27,10 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tags whose content is no text, tags that don't end a block, tags without content.
-SILENT = {"script", "style", "template", "noscript", "head", "title", "svg", "iframe", "object", "textarea", "select"}
+SILENT = {"script", "style", "template", "noscript", "title", "svg", "iframe", "object", "textarea", "select"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
           "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+# Tags that stand in a head, block-level tags, and silent tags that the next block-level tag closes if nothing else does (True: may nest).
+HEAD = {"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+         "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+LOOSE = {"noscript": False, "select": False, "object": True, "svg": True}
+_LOOSE_TAGS = {t: re.compile(rf"<(/?){t}(?![a-z0-9-])", re.I) for t in LOOSE}
 _WORDS = re.compile(r"[a-z]+")
 _LINKED = 0.5
 
@@ -38,12 +44,14 @@ _LINKED = 0.5
 class _Blocks(HTMLParser):
     """Collects (text, ancestors, linked characters) of the leaf blocks."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.html, self.lines = html, None
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.blocks: list[tuple[str, tuple[str, ...], int]] = []
         self.parts: list[str] = []
         self.linked, self.silent, self.in_link = 0, 0, 0
+        self.unclosed: list[int] = []       # places in `open` of silent elements without an end tag
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
@@ -51,7 +59,25 @@ class _Blocks(HTMLParser):
             self.blocks.append((text, tuple(w for _, ws in self.open for w in ws), self.linked))
         self.parts, self.linked = [], 0
 
+    def ends(self, tag) -> bool:
+        """Whether the element that starts here has an end tag."""
+        if self.lines is None:
+            self.lines = [0, *(m.end() for m in re.finditer("\n", self.html))]
+        line, offset = self.getpos()
+        depth = 0
+        for m in _LOOSE_TAGS[tag].finditer(self.html, self.lines[line - 1] + offset + 1):
+            if m.group(1) and not depth:
+                return True
+            if not m.group(1) and not LOOSE[tag]:
+                return False
+            depth += -1 if m.group(1) else 1
+        return False
+
     def handle_starttag(self, tag, attrs):
+        if self.open and self.open[-1][0] == "head" and tag not in HEAD:
+            self.close("head")
+        if tag in BLOCK and self.unclosed:
+            self.cut(self.unclosed[0])
         if tag in INLINE:
             self.in_link += tag == "a"
             return
@@ -70,17 +96,30 @@ class _Blocks(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role", "aria-label", "itemprop") and value:
                 words += ["." + w for w in _WORDS.findall(value.lower())]
+        if tag in LOOSE and not self.ends(tag):
+            self.unclosed.append(len(self.open))
         self.open.append((tag, tuple(words)))
         self.silent += tag in SILENT
 
     def close(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                for t, _ in self.open[k:]:
-                    self.silent -= t in SILENT
-                del self.open[k:]
+                self.cut(k)
                 return
 
+    def cut(self, k):
+        """Close everything from place k on."""
+        for t, _ in self.open[k:]:
+            self.silent -= t in SILENT
+        del self.open[k:]
+        while self.unclosed and self.unclosed[-1] >= k:
+            self.unclosed.pop()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in SILENT:       # <svg/> is complete
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag):
         if tag in INLINE:
             self.in_link -= tag == "a" and self.in_link > 0
@@ -100,7 +139,7 @@ class _Blocks(HTMLParser):
 def blocks_of(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     if not html:
         return []
-    parser = _Blocks()
+    parser = _Blocks(html)
     parser.feed(html)
     HTMLParser.close(parser)
     parser.flush()

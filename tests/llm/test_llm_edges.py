@@ -156,6 +156,21 @@ def test_html(spark):
     assert html_crf.extract(pages.limit(0)).count() == 0
 
 
+def test_html_unclosed_silent_tags():
+    def texts(html):
+        return [b[0] for b in html_crf.blocks_of(html)]
+    rest = "<article><h1>Big news</h1>\n<p>One two three.<p>Four."
+    want = ["Big news", "One two three.", "Four."]
+    assert texts("<html><head><title>t</title>" + rest) == want and texts("<html><head><script>x</script><style>y</style>\n" + rest) == want
+    for tag, inside in {"noscript": "hidden", "object": "<param name=x>hidden", "select": "<option>hidden", "svg": "<g><text>hidden</text>"}.items():
+        assert texts(f"<body><{tag}>{inside}\n{rest}") == want, tag
+        assert texts(f"<head><{tag}>{inside}\n{rest}") == want, tag
+        assert texts(f"<{tag}>{inside}{rest}<{tag}>{inside}</{tag}><p>end") == want + ["end"], tag
+        assert texts(f"<body><{tag}>{inside}<p>hidden too</p></{tag}>{rest}") == want, tag       # closed: silent to its end
+    assert texts("<svg><svg></svg><p>hidden</p></svg><p>x") == ["x"] and texts("<svg/>" + rest) == want
+    assert texts("<head><noscript><img src=x>hidden</noscript><title>t</title></head><body>" + rest) == want
+
+
 def test_row_agendas_equal_heaps():
     """Units of all lengths and of characters in and outside the vocabulary: rows, heaps and the library agree."""
     import random
