@@ -6,8 +6,10 @@ corpus has: each host suffix with each path prefix of a listed length, and each
 first filter holds the listed keys; the second holds the other keys of the universe that pass the first;
 the third the listed keys that pass the second; and so on, until no key passes wrongly. A key is listed
 if the first level that it fails is an even one. Over the universe this is exact, so urls are judged
-without joins: the cascade's bits go to every task. Their number follows the listed keys, because the
-first filter lets through about as many other keys as are listed.
+without joins: the cascade's bits go to every task. A level has log2(1 / rate) hashes, the best number for its
+size, and the first one's rate is listed / universe: about as many other keys as are listed pass it and are
+collected, however large the corpus is. So n listed keys among u take about 1.44 n log2(u / n) bits there and a
+few n bits in all later levels.
 
 The longest rule that fits a url decides; otherwise a listed word of its host blocks it, and everything
 else is allowed. Null urls and urls without `://` have an empty host and path, fit no rule and are
@@ -31,7 +33,6 @@ from .tokens import U, mix
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Words of host names that block a url without a rule.
 WORDS = ("ads", "adult", "bets", "betting", "casino", "gambling", "lottery", "pills", "porn", "poker", "spam", "xxx")
-HASHES = 2
 
 
 def _rest(url: Column) -> Column:
@@ -63,19 +64,21 @@ class Level:
 
     def __init__(self, number: int, keys: np.ndarray, rate: float):
         self.number = number
+        self.hashes = max(1, round(-math.log2(rate)))
         self.size = max(64, math.ceil(-len(keys) * math.log(rate) / math.log(2) ** 2))
         self.bits = np.zeros(self.size, dtype=bool)
-        for cells in self._cells(keys):
-            self.bits[cells] = True
+        for i in range(self.hashes):
+            self.bits[self._cells(keys, i)] = True
 
-    def _cells(self, keys: np.ndarray):
-        for i in range(HASHES):
-            yield (mix(keys + U((self.number * 16 + i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % U(self.size)).astype(np.int64)
+    def _cells(self, keys: np.ndarray, i: int) -> np.ndarray:
+        return (mix(keys + U((self.number * 64 + i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % U(self.size)).astype(np.int64)
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), dtype=bool)
-        for cells in self._cells(keys):
-            out &= self.bits[cells]
+        going = np.arange(len(keys))        # the keys that passed all hashes so far
+        for i in range(self.hashes):
+            going = going[self.bits[self._cells(keys[going], i)]]
+        out = np.zeros(len(keys), dtype=bool)
+        out[going] = True
         return out
 
 

@@ -147,6 +147,18 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_first_url_level_passes_few_keys():
+    """About as many other keys pass the first level as are listed, also in a universe that is far larger."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for n, size in ((10, 3_000_000), (40, 1_000_000), (5_000, 1_000_000), (3, 4)):
+        passed = [int(url_filter.Level(0, keys[:n], min(0.5, n / size)).passes(keys[n:]).sum()) for keys in (draw.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(3))]
+        assert np.mean(passed) <= 4 * n + 10, (n, size, passed)
+        keys = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert url_filter.Level(0, keys, min(0.5, n / size)).passes(keys).all()
+
+
 def test_html(spark):
     page = ('<html><head><title>t</title></head><body><nav><a href="/">home</a></nav><main><h1>Big news of the day</h1><p>One &amp; two, and more words here.<p>Three <b>four</b>ty lines of text, it says.'
             '<div class="comments"><div class="comment"><p>I like this very much, thanks.</p></div></div></main><footer>&copy; us</footer>')
