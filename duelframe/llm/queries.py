@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_crf, jaccard_join, langid, line_dedup, personal_data, quality, sentencepiece_bpe, url_filter
+from . import decontaminate, fill_middle, filter_audit, fingerprints, html_crf, jaccard_join, langid, line_dedup, personal_data, quality, sentencepiece_bpe, url_filter, word_bpe
 
-VOCABULARY = "piece_bpe_32k.model"
+VOCABULARY, WORD_VOCABULARY = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     """Path of the public vocabulary file on this machine and on the executors."""
     import public_tokenizers
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +65,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary(WORD_VOCABULARY)
+    return word_bpe.digests(word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_html_crf, op3_language_masks, op4_sentencepiece, op5_line_dedup, op6_personal_data, op7_fingerprints,
-                                   op8_url_filter, op9_decontaminate, op10_quality, pipeline)}
-ORACLES: dict[str, str] = {}
+                                   op8_url_filter, op9_decontaminate, op10_quality, op11_fill_middle, op12_word_bpe, op13_filter_audit, pipeline)}
+ORACLES = {"op11_fill_middle": fill_middle.SQL, "op13_filter_audit": filter_audit.SQL}
