@@ -31,7 +31,8 @@ FORMS = {"psm": ("prefix", "suffix", "middle"), "spm": ("suffix", "prefix", "mid
 #: Order of the parts in the text.
 ORIGINAL = {"prefix": 0, "middle": 1, "suffix": 2}
 SEED, TRANSFORMED, SPM = 7, 100, 50
-CHUNK = 1 << 16
+#: Characters of a piece; bytes of text that a sorting task takes.
+CHUNK, PARTITION = 1 << 16, 1 << 24
 _SENTINEL = re.compile("<[PSM]>")
 _OPEN = re.compile("<[PSM]?$")
 _NAMES = {s: name for name, s in SENTINELS.items()}
@@ -154,7 +155,7 @@ def _joined(records: Iterable[tuple]) -> Iterator[tuple]:
 def sorted_pieces(docs: DataFrame, options: tuple = (SEED, TRANSFORMED, SPM), size: int = CHUNK) -> RDD:
     """((row, place in the output), piece) with the pieces of each row together and in order; place 0 is the row's head."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").rdd
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(rows.getNumPartitions(), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION))
     return rows.mapPartitionsWithIndex(_emit(options, size)).repartitionAndSortWithinPartitions(n, _spread)
 
 
