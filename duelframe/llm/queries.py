@@ -71,7 +71,7 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary(WORD_VOCABULARY)
-    return word_bpe.digests(word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return word_bpe.digests(word_bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
