@@ -10,6 +10,8 @@ from ..operators import matchup as M
 from ..operators import merge as G
 from ..operators import metrics as X
 from ..operators import models as L
+from ..operators.backtest import backtest
+from ..operators.boosting import Config
 from ..session import cut_lineage
 from . import oracle as O
 from . import views as V
@@ -21,6 +23,8 @@ CUTOFFS = [("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01"), ("2001-01
 _MODEL_COLUMNS = [c for c in M.numeric_feature_columns() if c.startswith("diff_")]
 #: The most trees of a model; early stopping picks the number.
 _TREES = 3000
+#: Trees of the models that are explained.
+_EXPLAINED = 60
 
 # Bio of both sides of every target contest, one row per orientation 0 row.
 _PHYS = f"""phys AS (SELECT t.contest_id, t.event_date, coalesce(t.division, '?') AS division, {", ".join(
@@ -167,21 +171,39 @@ def _(spark, d):
     return _guarded(L.refit(m, f.filter("split <> 'test'")), f.filter("split = 'test'"))
 
 
+def _trees(spark, d):
+    """Features, and a tree model of fixed size fitted on all rows before the test split."""
+    f = _stored_features(spark, d)
+    return f, L.BoostedModel(config=Config(trees=_EXPLAINED)).fit(f.filter("split <> 'test'"))
+
+
+@query("tree_contributions", sql(f"""SELECT contest_id, o.orientation, {len(M.numeric_feature_columns()) + len(M.CATEGORICAL)} AS terms, true AS adds_up FROM target, (VALUES (0), (1)) o(orientation)
+  WHERE event_date >= DATE '{V.VALID_END}'""", "target"))
+def _(spark, d):
+    """Whether each row's Shapley values and the bias add up to the logit of the probability that scoring gives."""
+    f, m = _trees(spark, d)
+    test = f.filter("split = 'test'")
+    c = m.contributions(test).drop("p").join(m.score(test).select("contest_id", "orientation", "p"), ["contest_id", "orientation"])
+    total = F.aggregate("contrib", F.lit(0.0), lambda a, x: a + x["value"]) + F.col("bias")
+    return c.select("contest_id", "orientation", F.size("contrib").alias("terms"), (F.abs(total - F.log(F.col("p") / (1 - F.col("p")))) < 1e-6).alias("adds_up"))
+
+
+@query("key_factors")
+def _(spark, d):
+    """What the tree model's forecast of each test contest rests on: the strongest groups of features per side."""
+    f, m = _trees(spark, d)
+    c = m.contributions(f.filter("split = 'test'"))
+    drivers = L.top_drivers(L.contribution_groups(c.filter("orientation = 0"), c.filter("orientation = 1"), "contest_id"), "contest_id")
+    names = f.filter("split = 'test' and orientation = 0").select("contest_id", *[F.concat(F.lit("E"), f"entity_{s}_id").alias(f"name_{s}") for s in "12"])
+    return L.key_factor_text(drivers, names, "contest_id")
+
+
 @query("walk_forward_models")
 def _(spark, d):
     """Rule, logistic and tree model per cut-off: tuned on the year before it, fitted on everything before it, tested
-    behind it; `chosen` has the lowest log loss of that year. `walk_forward_slices` is the rule alone in one job."""
-    f, chosen = _stored_features(spark, d), []
-
-    def tune(train, valid):
-        models = L.candidates(train, valid, _MODEL_COLUMNS, _TREES)
-        best = L.choose(models, valid)
-        chosen.extend(m is best for m in models)
-        return models
-    out = L.walk_forward(f, CUTOFFS, tune)
-    rows = [(r["cutoff"], r["model"], r["fitted_until"], r["n_contests"], best, r["brier"], r["log_loss"]) for r, best in zip(out, chosen, strict=True)]
-    w = spark.createDataFrame(rows, "cutoff string, model string, fitted_until string, n_contests long, chosen boolean, brier double, log_loss double")
-    return w.withColumns({c: r6(c) for c in ("brier", "log_loss")})
+    behind it; `chosen` has the lowest log loss of that year. `walk_forward_slices` is the rule alone."""
+    w = backtest(_stored_features(spark, d), CUTOFFS, M.numeric_feature_columns(), M.CATEGORICAL, _MODEL_COLUMNS)
+    return w.select("cutoff", "model", "params", "n_fit", "fitted_until", "n_contests", "chosen", *[r6(c).alias(c) for c in ("roc_auc", "brier", "log_loss", "ece", "accuracy")])
 
 
 _SPLIT = f"CASE WHEN event_date < DATE '{V.TRAIN_END}' THEN 'train' WHEN event_date < DATE '{V.VALID_END}' THEN 'valid' ELSE 'test' END"
