@@ -92,13 +92,25 @@ def _train(x: np.ndarray, y: np.ndarray, rank: int, epochs: int, step: float) ->
     return model | {"constant": False}
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS, rank: int = RANK, rows: int = ROWS, epochs: int = EPOCHS, step: float = STEP) -> dict:
-    """Fit on at most `rows` rows of (text, label); half of them of each label, as far as there are."""
-    known = labelled.filter("label is not null").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text", F.lit(17)).alias("order"))
-    sample = [r for label in (0, 1) for r in known.filter(F.col("label") == label).orderBy("order").limit(rows // 2)
-              .mapInArrow(_extract(buckets), "x binary, label int").collect()]
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in sample]) if sample else np.zeros((0, buckets + STATS), dtype=np.float32)
-    return _train(x, np.array([r["label"] for r in sample], dtype=np.float32), rank, epochs, step) | {"buckets": buckets}
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(text, label) of at most `rows` labelled documents, half of them of each label as far as there are.
+
+    The ids are chosen on the ids alone, by hash; only their texts are fetched, by a join with at most `rows` ids. Of several labels of
+    an id the larger one counts, of several texts the first by hash."""
+    there = docs.select("doc_id").filter(~held_out())
+    known = (labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+             .join(there, "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id", F.lit(17))))
+    chosen = [tuple(r) for label in (0, 1) for r in known.filter(F.col("label") == label).orderBy("order", "doc_id").limit(rows // 2).select("doc_id", "label").collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, docs.select(F.col("doc_id").alias("_id"), F.lit(0).alias("label")).schema)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.orderBy("doc_id").select("text", "label")
+
+
+def fit(sample: DataFrame, buckets: int = BUCKETS, rank: int = RANK, epochs: int = EPOCHS, step: float = STEP) -> dict:
+    """Fit on a bounded sample of (text, label)."""
+    found = sample.mapInArrow(_extract(buckets), "x binary, label int").collect()
+    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in found]) if found else np.zeros((0, buckets + STATS), dtype=np.float32)
+    return _train(x, np.array([r["label"] for r in found], dtype=np.float32), rank, epochs, step) | {"buckets": buckets}
 
 
 def _extract(buckets: int):
@@ -109,7 +121,8 @@ def _extract(buckets: int):
     return run
 
 
-def _score(sent):
+def _score(sent, name: str):
+    """Adds the score to all columns of a batch."""
     def run(batches):
         model = sent.value
         for batch in batches:
@@ -117,8 +130,7 @@ def _score(sent):
             if not model["constant"]:
                 for lo, x in features(batch.column("text"), model["buckets"]):
                     out[lo:lo + len(x)] = 1 / (1 + np.exp(-np.clip(margin(x, model), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(out)],
-                                             names=[*[c for c in batch.schema.names if c != "text"], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
     return run
 
 
@@ -127,15 +139,17 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def scored(docs: DataFrame, labels: DataFrame, name: str = "score", rows: int = ROWS) -> DataFrame:
+    """The documents with all their columns and their score; learned from the labelled documents that aren't held out."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(sampled(docs, labels, rows)))
+    return docs.mapInArrow(_score(model, name), docs.withColumn(name, F.lit(0.0)).schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(doc_id, score) per document; learned from the labelled documents that aren't held out."""
-    labels = labels.select(F.col("doc_id").alias("labelled_id"), F.col("quality").alias("label")).filter("label is not null").dropDuplicates(["labelled_id"])
-    known = docs.filter(~held_out()).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled_id")).select("text", "label")
-    model = fit(known, rows=rows)
-    return docs.select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), docs.select("doc_id", F.lit(0.0).alias("score")).schema)
+    """(doc_id, score) per document."""
+    return scored(docs.select("doc_id", "text"), labels, rows=rows).select("doc_id", "score")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """Documents whose score reaches `cut`, with all their columns. Rows without doc_id can't be named and stay."""
-    rejected = score(docs, labels).filter((F.col("score") < cut) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose score reaches `cut`, with all their columns, each judged by its own text. Rows without doc_id stay."""
+    return scored(docs, labels, "_quality_score").filter((F.col("_quality_score") >= cut) | F.col("doc_id").isNull()).select(*docs.columns)
