@@ -122,6 +122,11 @@ def _find(sent):
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_hit, items) per document: words, words inside an occurrence of a window, and the
     sorted ids of the items with occurring windows."""
+    return _marked(docs, benchmark, window, block).drop("mark")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
+    """`find_windows` with the hash of each document's text as `mark`."""
     items = _item_words(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
     vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.empty(0, dtype=np.uint64)
     seen = _frequencies(docs, vocabulary) if items else np.empty(0, dtype=np.int64)
@@ -141,10 +146,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
         base = found[0].select("doc_id", "mark", "n_words")
         out = base.join(parts, F.struct(base["doc_id"], base["mark"]).eqNullSafe(F.col("at")), "left").withColumns(
             {c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("hits", "items")})
-    return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    return out.select("doc_id", "mark", "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any hit, with all their columns. Rows without doc_id can't be named and stay."""
-    hit = find_windows(docs, benchmark, window).filter("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without any hit, with all their columns, each text judged by itself. Rows without doc_id can't be named and stay."""
+    hit = _marked(docs, benchmark, window).filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), "mark").distinct()
+    return docs.join(hit, (docs["doc_id"] == hit["_id"]) & (F.xxhash64(docs["text"]) == hit["mark"]), "left_anti").select(*docs.columns)

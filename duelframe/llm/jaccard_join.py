@@ -300,7 +300,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One document of each component: the one that gives the component its name. Rows without doc_id
-    stay, as do all of the columns; of repeated rows one stays."""
+    stay, as do all of the columns; of repeated rows one stays, but other texts of a kept doc_id stay too."""
     linked = link_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(linked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.filter("doc_id is not null").join(linked, "doc_id", "left_semi").withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null").select(*docs.columns))

@@ -18,7 +18,6 @@ document, others of equal doc_id go by their text's hash; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -58,8 +57,8 @@ def _ranked(tokens: Column, classes: list[int]) -> Column:
 def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, row, pos) of the lines that an earlier line matches."""
     tokens = (lines_of(docs).select("doc_id", "row", "pos", F.sort_array(F.array_distinct(shingle_hashes(F.col("line"), width))).alias("t")).filter("size(t) > 0")
-              .select("doc_id", "row", "pos", F.xxhash64("t").alias("node"), "t").persist(StorageLevel.MEMORY_AND_DISK))
-    cells = tokens.select(F.explode("t").alias("t")).groupBy(_cell(F.col("t")).alias("cell")).count().collect()
+              .select("doc_id", "row", "pos", F.xxhash64("t").alias("node"), "t"))       # made anew where needed: all sets together are larger than the texts
+    cells = lines_of(docs).select(F.explode(shingle_hashes(F.col("line"), width)).alias("t")).groupBy(_cell(F.col("t")).alias("cell")).count().collect()
     total = max(1, sum(r["count"] for r in cells))
     classes = [0] * CELLS
     for r in cells:         # powers of two above the mean cell
@@ -73,7 +72,6 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
               .select("token", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).cast("int").alias("i")))
     shared = cut_lineage(shared, "shared")
     lines = cut_lineage(tokens.select("doc_id", "row", "pos", "node"), "lines")
-    tokens.unpersist()
 
     firsts = cut_lineage(lines.groupBy("node").agg(F.min(F.struct("doc_id", "pos", "row")).alias("f"), F.count(F.lit(1)).alias("lines")).select("node", "f.*", "lines"), "classes")
     met = (shared.join(firsts, "node").select("token", F.struct("doc_id", "pos", "node", "n", "i").alias("x"))
@@ -117,8 +115,9 @@ def report(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
                                                              F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def drop_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The documents without the matched lines; n_chars, if there, follows the text. Documents whose lines all go stay with an empty text."""
+def drop_lines(docs: DataFrame, width: int = 5, percent: int = 75, drop_emptied: bool = False) -> DataFrame:
+    """The documents without the matched lines; n_chars, if there, follows the text. Documents whose lines with words all go
+    stay with what is left, or go with `drop_emptied`: all they said stands in earlier documents."""
     gone = (matched_lines(docs, width, percent).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("removed_lines"))
             .select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "removed_lines"))
     joined = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_row"]), "left")
@@ -127,4 +126,6 @@ def drop_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     cut = joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.col("removed_lines").isNotNull().alias("_cut"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    if drop_emptied:
+        cut = cut.filter(~F.col("_cut") | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return cut.select(*docs.columns)
