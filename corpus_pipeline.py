@@ -14,8 +14,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line matches go."""
-    return line_dedup.drop_lines(docs)
+    """Lines that an earlier line matches go, and documents of which nothing is left, such as exact copies."""
+    return line_dedup.drop_lines(docs, drop_emptied=True)
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
