@@ -127,6 +127,13 @@ def _(spark, d):
     return H.earlier_sources(V.appearances(spark, d)).drop("id_hash").withColumn("id_sum", F.col("id_sum").cast("long"))
 
 
+@query("audit_source_chunks", sql(f"""SELECT entity_id, (place // {H.SOURCE_CHUNK})::BIGINT AS chunk, string_agg(contest_id, ',' ORDER BY place) AS ids
+  FROM (SELECT entity_id, contest_id, row_number() OVER (PARTITION BY entity_id ORDER BY event_date, contest_id) - 1 AS place FROM app) GROUP BY ALL""", "app"))
+def _(spark, d):
+    """Every entity's contests in order; the list of any row is a prefix that `audit_sources.n_sources` measures."""
+    return H.source_chunks(V.appearances(spark, d)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
 # ------------------------------------------------------------------ full feature rows
 
 def _side_sql(s: str) -> dict[str, str]:

@@ -9,8 +9,9 @@ from ..operators import clean as C
 from ..operators import ingest as I
 from ..operators import merge as G
 from ..operators import quality as Q
+from ..operators import store as B
 from ..operators.running import sequence_in_group
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources import files
 from . import source_views as S
 from . import views as V
@@ -305,10 +306,53 @@ def _(spark, d):
 @query("results_log_append", sql(f"SELECT count(*) AS log_rows, count(*) FILTER (event_date >= DATE '{_STORED_UNTIL}') AS added, 0::BIGINT AS added_again FROM contest", "contest"))
 def _(spark, d):
     stored, new = _stored_and_new(spark, d)
-    once = G.insert_only(stored, new, ["contest_id"], ["result"])
-    again = G.new_rows(once, new, ["contest_id"], ["result"]).agg(F.count(F.lit(1)).alias("added_again"))
-    counts = once.agg(F.count(F.lit(1)).alias("log_rows"), F.count_if(F.col("result") != "old").alias("added"))
-    return counts.withColumn("k", F.lit(1)).join(again.withColumn("k", F.lit(1)), "k").drop("k")
+    once = cut_lineage(G.insert_only(stored, new, ["contest_id"], ["result"]), "log")
+    again = G.new_rows(once, new, ["contest_id"], ["result"]).select(F.lit(None).cast("string").alias("result"), F.lit(1).alias("again"))
+    rows = once.select("result", F.lit(0).alias("again")).unionByName(again)
+    return rows.agg(F.count_if(F.col("again") == 0).alias("log_rows"), F.count_if((F.col("again") == 0) & (F.col("result") != "old")).alias("added"), F.sum("again").alias("added_again"))
+
+
+@query("log_versions", sql(f"""WITH n AS (SELECT count(*) FILTER (event_date < DATE '{_STORED_UNTIL}') AS old, count(*) AS whole FROM contest)
+  SELECT step, version, log_rows, added, refused FROM n, LATERAL (VALUES ('first', 1, old, old, false), ('second', 2, whole, whole - old, false), ('again', 2, whole, 0, false),
+    ('crash', 2, whole, NULL, true), ('stale reader', 2, whole, NULL, true)) s(step, version, log_rows, added, refused)""", "contest"))
+def _(spark, d):
+    """A stored log after two appends, the second one again, an append that dies before its commit, and a stage made for the first version."""
+    stored, new = _stored_and_new(spark, d)
+    path, steps = shared_path(spark, "log"), []
+
+    def state(step: str, added: int | None, refused: bool = False) -> None:
+        v = B.info(spark, path)
+        steps.append((step, v["version"], sum(f["rows"] for f in v["folders"]), added, refused))
+
+    def dies(*_):
+        raise RuntimeError("killed before the commit")
+    first = B.append(path, stored, ["contest_id"], ["result"])
+    state("first", first["added"])
+    for step in ("second", "again"):
+        state(step, B.append(path, new.unionByName(stored), ["contest_id"], ["result"])["added"])
+    try:
+        B.append(path, new.withColumn("contest_id", -F.col("contest_id")), ["contest_id"], ["result"], commit=dies)
+    except RuntimeError:
+        state("crash", None, True)
+    try:
+        B.require(spark, path, first)
+    except B.VersionError:
+        state("stale reader", None, True)
+    return spark.createDataFrame(steps, "step string, version int, log_rows long, added long, refused boolean")
+
+
+@query("file_quarantine", """SELECT 'region_year=' || year(o_orderdate) AS file, count(*) AS rows, NULL AS reason FROM orders GROUP BY 1 UNION ALL SELECT 'region_year=latin', NULL, 'not UTF-8'
+  UNION ALL SELECT 'region_year=ragged', count(*), 'too many fields in line 2' FROM region UNION ALL SELECT 'region_year=other', count(*), 'no column custkey' FROM nation""")
+def _(spark, d):
+    """Rows of each readable file, and the refused files with the reason: another encoding, a ragged line, other columns."""
+    o = V.table(spark, d, "orders").select(F.year("o_orderdate").alias("region_year"), F.col("o_custkey").cast("string").alias("custkey"))
+    path = files.write_strings(o, "by-year", partition="region_year")
+    region, nation = V.table(spark, d, "region").coalesce(1), V.table(spark, d, "nation").coalesce(1)
+    region.select(F.concat(F.lit("é"), "r_regionkey").alias("custkey")).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/region_year=latin")
+    region.select(F.concat_ws(",", "r_regionkey", F.lit("more")).alias("custkey")).write.option("header", True).option("quote", "").csv(f"{path}/region_year=ragged")
+    nation.select(F.col("n_nationkey").alias("key")).write.option("header", True).csv(f"{path}/region_year=other")
+    found = files.file_status(spark, path, ["custkey"]).withColumn("file", F.regexp_extract("file_path", r"(region_year=\w+)", 1))
+    return found.groupBy("file").agg(F.sum("rows").alias("rows"), F.max("reason").alias("reason"))
 
 
 @query("dataset_fingerprint", sql("""SELECT 'shuffled' AS form, count(*) AS rows, true AS same FROM contest UNION ALL SELECT 'one division renamed', count(*), false FROM contest

@@ -81,14 +81,41 @@ def _misspelt():
             .otherwise(F.concat_ws(" ", F.get(tokens, F.lit(1)), F.get(tokens, F.lit(0)))))
 
 
-@query("fuzzy_top1_margin")
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_MISSPELT_SQL = """CASE p_partkey // 16 % 4 WHEN 0 THEN substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2)
+  WHEN 1 THEN substr(p_name, 1, p_partkey % length(p_name) + 1) || substr(p_name, p_partkey % length(p_name) + 1)
+  WHEN 2 THEN substr(p_name, 1, p_partkey % length(p_name)) || 'q' || substr(p_name, p_partkey % length(p_name) + 2)
+  ELSE concat_ws(' ', string_split(p_name, ' ')[2], string_split(p_name, ' ')[1]) END"""
+_KNOWN_SQL = "known AS (SELECT p_name AS cand, min(p_partkey) AS id FROM part GROUP BY 1)"
+# Longest common subsequence by the carries of additions, for names of up to 120 letters; levenshtein never exceeds the edits counted here.
+_FUZZY_SQL = """forms AS (SELECT norm, unnest([norm, array_to_string(list_sort(string_split(norm, ' ')), ' ')]) AS a, unnest([0, 1]) AS form FROM asked),
+  known_forms AS (SELECT cand, unnest([cand, array_to_string(list_sort(string_split(cand, ' ')), ' ')]) AS b, unnest([0, 1]) AS form FROM known),
+  pairs AS (SELECT norm, cand, a, b, (1::HUGEINT << length(b)::INT) - 1 AS bits FROM forms JOIN known_forms USING (form) WHERE levenshtein(a, b) <= 0.13 * (length(a) + length(b)) + 1e-9),
+  common AS (SELECT norm, cand, length(a) + length(b) AS letters, length(b) - bit_count(list_reduce(list_prepend(bits, list_transform(string_split(a, ''), lambda c: coalesce(list_sum(list_transform(range(length(b)),
+    lambda i: CASE WHEN substr(b, i::INT + 1, 1) = c THEN 1::HUGEINT << i::INT ELSE 0 END)), 0)::HUGEINT)), lambda v, x: ((v + (v & x)) | (v - (v & x))) & bits)) AS n FROM pairs),
+  near AS (SELECT norm, cand, max(2::DOUBLE * n / letters) AS score FROM common WHERE letters - 2 * n <= 0.13 * letters + 1e-9 GROUP BY ALL),
+  top AS (SELECT norm, cand AS best, score, lead(score) OVER w AS runner_up FROM near WINDOW w AS (PARTITION BY norm ORDER BY score DESC, cand DESC) QUALIFY row_number() OVER w = 1),
+  fuzzy AS (SELECT *, score >= 0.92::DOUBLE AND score - coalesce(runner_up, 0) >= 0.05::DOUBLE AS accepted FROM top)"""
+
+
+@query("fuzzy_top1_margin", f"""WITH {_KNOWN_SQL}, asked AS (SELECT DISTINCT {_norm_sql(_MISSPELT_SQL)} AS norm FROM part WHERE {_norm_sql(_MISSPELT_SQL)} <> ''), {_FUZZY_SQL}
+  SELECT norm, best, round(score, 6) AS score, round(runner_up, 6) AS runner_up, accepted FROM fuzzy""")
 def _(spark, d):
     probes = V.table(spark, d, "part").select(normalize_name(_misspelt()).alias("norm"))
     top = N.fuzzy_top1_margin(probes, N.name_index(_short_index(spark, d)))
     return top.select("norm", "best", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "accepted")
 
 
-@query("slate_match")
+@query("slate_match", f"""WITH {_KNOWN_SQL}, p AS (SELECT p_partkey, p_partkey % 6 AS kind, {_norm_sql(f"CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN 'The ' || p_name WHEN 3 THEN {_MISSPELT_SQL} ELSE 'Debutant ' || p_partkey END")} AS norm FROM part),
+  step AS (SELECT p.*, al.id AS alias_id, ex.id AS exact_id, cp.id AS compact_id, cp.n FROM p LEFT JOIN known al ON p.norm = 'the ' || al.cand LEFT JOIN known ex ON ex.cand = p.norm
+    LEFT JOIN (SELECT replace(cand, ' ', '') AS c, count(*) AS n, min(id) AS id FROM known GROUP BY 1) cp ON cp.c = replace(p.norm, ' ', '')),
+  asked AS (SELECT DISTINCT norm FROM step WHERE kind <> 4 AND alias_id IS NULL AND exact_id IS NULL AND compact_id IS NULL AND norm <> ''), {_FUZZY_SQL}
+  SELECT p_partkey AS probe_id, CASE WHEN kind = 4 THEN p_partkey WHEN alias_id IS NOT NULL THEN alias_id WHEN exact_id IS NOT NULL THEN exact_id WHEN n = 1 THEN compact_id WHEN n > 1 THEN NULL ELSE k.id END AS entity_id,
+  CASE WHEN kind = 4 THEN 'manual' WHEN alias_id IS NOT NULL THEN 'alias' WHEN exact_id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'compact' WHEN n > 1 THEN 'ambiguous' WHEN k.id IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS method
+  FROM step LEFT JOIN fuzzy f ON f.norm = step.norm AND f.accepted AND alias_id IS NULL AND exact_id IS NULL AND compact_id IS NULL LEFT JOIN known k ON k.cand = f.best""")
 def _(spark, d):
     info = _short_index(spark, d)
     kind = F.col("p_partkey") % 6

@@ -3,11 +3,12 @@ directly from the table columns instead of parsing."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import parse as P
-from ..sources.pages import page_links
+from ..sources.pages import event_bouts, listing_events, page_links
 from . import views as V
 from .oracle import sql
 from .registry import query
@@ -192,3 +193,40 @@ def _(spark, d):
   SELECT page_id, url, trim(label) AS label FROM hits WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""")
 def _(spark, d):
     return page_links(V.table(spark, d, "pages")).select("page_id", "url", "label")
+
+
+# ------------------------------------------------------------------ listing and event pages, with elements nested in elements of the same name
+
+def _pages(spark, d):
+    """Slates as HTML: one listing page for each month and block, and one page for each slate."""
+    b = V.slate_columns(V.contests(spark, d, False))
+    day = F.date_format("event_date", "EEE, MMM d")
+    card = F.concat(F.lit('<div class="event-card x"><div class="event-headline"><div><a href="/slate/'), "event_id", F.lit('#top">Slate '), "event_id", F.lit('</a></div><div> &amp; more</div></div>'
+                    '<div class="event-date" data-main-card="'), day, F.lit(' / 7:00 PM" data-main-card-timestamp="'), F.unix_seconds(F.col("event_date").cast("timestamp")).cast("string"),
+                    F.lit('"><div>soon</div></div><div class="event-location"><div><div>Hall '), (F.dayofmonth("event_date") % 3).cast("string"), F.lit("</div></div>, Town</div></div>"))
+    month = F.concat(F.date_format("event_date", "yyyyMM"), F.lit("-"), F.get(F.split("event_id", "-"), F.lit(1)))
+    events = b.select("event_id", "event_date").distinct()
+    listings = events.groupBy(month.alias("page_id")).agg(F.concat(F.lit("<html><body><div>"), F.array_join(F.array_sort(F.collect_list(card)), ""), F.lit("</div></body></html>")).alias("html"))    # days of a month
+    kind = F.when(F.col("is_title"), " Title Bout").otherwise(" Bout")
+
+    def corner(side: str, which: str) -> Column:
+        return F.concat(F.lit(f'<div class="corner-{side}"><div class="pic"></div><div><div>E'), f"entity_{which}_id", F.lit("</div></div></div>"))
+    bout = F.concat(F.lit('<div class="bout"><div>'), corner("red", "1"), corner("blue", "2"), F.lit('</div><div class="bout-class"><div></div>Lightweight'), kind, F.lit("</div></div>"))
+    first = F.col("bout_no") <= 3
+    def part(which: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("bout_no", bout.alias("h"))))), lambda x: x["h"]), "")
+    pages = b.groupBy(F.col("event_id").alias("page_id")).agg(F.concat(F.lit('<html><div id="prelims-card"><div>'), part(~first), F.lit('</div></div><div id="main-card"><div>'), part(first), F.lit("</div></div></html>")).alias("html"))
+    return listings, pages
+
+
+# A displayed 29 February has no year of its own among the neighbouring ones (`nearest_year_date`), so such cards are left out.
+@query("listing_pages", sql("""SELECT strftime(event_date, '%Y%m') || '-' || split_part(event_id, '-', 2) AS page_id, 'https://x.org/slate/' || event_id AS url, 'Slate ' || event_id || ' & more' AS headline, event_date,
+  'Hall ' || day(event_date) % 3 || ', Town' AS location FROM slated WHERE NOT (month(event_date) = 2 AND day(event_date) = 29) GROUP BY event_id, event_date""", "slated"))
+def _(spark, d):
+    return listing_events(_pages(spark, d)[0], base="https://x.org/")
+
+
+@query("bout_pages", sql("""SELECT event_id AS page_id, bout_no AS bout_order, 'E' || entity_1_id AS name_1, 'E' || entity_2_id AS name_2, 'Lightweight' AS division, is_title,
+  CASE WHEN bout_no = 1 OR is_title THEN 5 ELSE 3 END AS scheduled_rounds, CASE WHEN bout_no <= 3 THEN 'main' ELSE 'prelims' END AS segment FROM slated""", "slated"))
+def _(spark, d):
+    return event_bouts(_pages(spark, d)[1])

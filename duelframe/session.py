@@ -28,16 +28,22 @@ def build_session(app: str = "duelframe", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+#: Folders of local sessions that name none, by application.
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` where the cluster names one.
-    Where that is unset, a local master gets a fresh temporary folder; a cluster has to name one."""
+    Where that is unset, a local master gets a fresh temporary folder for the session; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="duelframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN_ROOTS:         # the setting itself can't be changed in a running session
+        _OWN_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="duelframe-")
+    return _OWN_ROOTS[context.applicationId]
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:

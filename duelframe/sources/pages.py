@@ -48,8 +48,25 @@ def _blocks(html: Column, cls: str) -> Column:
 
 
 def _element(html: Column, cls: str) -> Column:
-    """Opening tag and content of the first element of class `cls` (no nested element of its own tag)."""
-    return F.regexp_extract(html, rf'(?s)<([a-z0-9]+)\b[^>]*\bclass="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>.*?</\1>', 0)
+    """The first element of class `cls` with all it contains, '' without any; an element that is never closed runs to the end.
+
+    Tags and texts become an array; from the opening tag on, a fold counts open elements of the same name until none is left."""
+    tokens = F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+"), F.lit(0))
+    opening = rf'^<[a-z0-9]+\b[^>]*\bclass="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"'
+
+    def cut(tokens: Column) -> Column:
+        start = F.array_position(F.transform(tokens, lambda t: t.rlike(opening)), True).cast("int")
+        name = F.regexp_extract(F.get(tokens, start - 1), "^<([a-z0-9]+)", 1)
+        rest = F.slice(tokens, F.greatest(start, F.lit(1)), F.size(tokens))
+
+        def step(state: Column, token: Column) -> Column:
+            tag = F.regexp_extract(token, "^(</?[a-z0-9]+)", 1)
+            depth = state["depth"] + F.when((tag == F.concat(F.lit("<"), name)) & ~token.endswith("/>"), 1).when(tag == F.concat(F.lit("</"), name), -1).otherwise(0)
+            return F.when(state["depth"] == 0, state).otherwise(F.struct(depth.cast("int").alias("depth"), (state["size"] + 1).alias("size")))
+        first = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("size"))
+        size = F.aggregate(F.slice(rest, F.lit(2), F.size(rest)), first, step, lambda s: s["size"])
+        return F.when(start > 0, F.array_join(F.slice(rest, F.lit(1), size), "")).otherwise("")
+    return F.get(F.transform(F.array(tokens), cut), 0)
 
 
 def listing_events(pages: DataFrame, layout: ListingLayout = ListingLayout(), base: str = "") -> DataFrame:
