@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct 5-word shingles (the whole line, if it has fewer words). A line goes if
 some earlier line (smaller doc_id, then smaller line number) has 100 * |A and B| >= 75 * |A or B|. Lines of
-equal sets are one class, whose first line stands for it; a class's other lines go at once.
+equal words are one class, whose first line stands for it; a class's other lines go at once.
 
 Tokens are ordered by rarity: a count sketch of fixed size over all lines gives every token a frequency
 class, and a token's sort key is (class, hash), the same for all lines. Similar lines share one of the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from duelframe.session import cut_lineage
 
-from .native_text import let, shingle_hashes
+from .native_text import let, shingle_hashes, shingles, word_hashes
 
 #: Cells of the count sketch that orders tokens.
 CELLS = 1 << 14
@@ -56,8 +56,9 @@ def _ranked(tokens: Column, classes: list[int]) -> Column:
 
 def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, row, pos) of the lines that an earlier line matches."""
-    tokens = (lines_of(docs).select("doc_id", "row", "pos", F.sort_array(F.array_distinct(shingle_hashes(F.col("line"), width))).alias("t")).filter("size(t) > 0")
-              .select("doc_id", "row", "pos", F.xxhash64("t").alias("node"), "t"))       # made anew where needed: all sets together are larger than the texts
+    hashed = lines_of(docs).select("doc_id", "row", "pos", word_hashes(F.col("line")).alias("h")).filter("size(h) > 0")
+    # sets are made anew where needed: all of them together are larger than the texts
+    tokens = hashed.select(F.xxhash64("h").alias("node"), F.sort_array(F.array_distinct(shingles(F.col("h"), width))).alias("t"))
     cells = lines_of(docs).select(F.explode(shingle_hashes(F.col("line"), width)).alias("t")).groupBy(_cell(F.col("t")).alias("cell")).count().collect()
     total = max(1, sum(r["count"] for r in cells))
     classes = [0] * CELLS
@@ -71,7 +72,7 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     shared = (postings.withColumn("lo", F.min("node").over(group)).withColumn("hi", F.max("node").over(group)).filter("lo <> hi").select("token", "node", "at").distinct()
               .select("token", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).cast("int").alias("i")))
     shared = cut_lineage(shared, "shared")
-    lines = cut_lineage(tokens.select("doc_id", "row", "pos", "node"), "lines")
+    lines = cut_lineage(hashed.select("doc_id", "row", "pos", F.xxhash64("h").alias("node")), "lines")
 
     firsts = cut_lineage(lines.groupBy("node").agg(F.min(F.struct("doc_id", "pos", "row")).alias("f"), F.count(F.lit(1)).alias("lines")).select("node", "f.*", "lines"), "classes")
     met = (shared.join(firsts, "node").select("token", F.struct("doc_id", "pos", "node", "n", "i").alias("x"))
