@@ -101,6 +101,13 @@ def _(spark, d):
     return R.event_facts(V.graded(spark, d))
 
 
+@query("event_lessons_misses", sql(f"""SELECT event_date, kind, row_number() OVER (PARTITION BY event_date, kind ORDER BY p_pick DESC, contest_id)::INT AS place, contest_id, 'E' || CASE WHEN p >= 0.5 THEN entity_1_id ELSE entity_2_id END AS pick,
+  'E' || winner_id AS actual_winner, {q6('p_pick')} AS p_pick, finish_group FROM (SELECT *, CASE WHEN finish_group = 'dq' THEN 'disqualification' WHEN p_pick >= 0.65 THEN 'upset' WHEN p_pick < 0.55 THEN 'coin flip' ELSE 'lean' END AS kind
+  FROM graded WHERE NOT correct)""", "graded"))
+def _(spark, d):
+    return R.event_misses(V.graded(spark, d)).withColumn("p_pick", r6("p_pick"))
+
+
 _LABELS = {
     "Pick confidence": "CASE WHEN p_pick < 0.55 THEN 'under 55%' WHEN p_pick < 0.65 THEN '55-65%' ELSE '65% and up' END",
     "Newcomer in the bout": "CASE WHEN newcomer THEN 'yes' ELSE 'no' END", "Late line-up change": "CASE WHEN late_change THEN 'yes' ELSE 'no' END",
