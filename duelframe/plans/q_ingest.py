@@ -408,7 +408,29 @@ def _raw_counts(spark, d):
     return Q.count_checks(Q.raw_checks(t, S.TODAY)).select("check", "violations")
 
 
-@query("quality_checks_raw_all")
+def _twice(rows: str, keys: str) -> str:
+    return f"(SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM {rows} GROUP BY {keys}) WHERE n > 1)"
+
+
+_RAW_SQL = {
+    "events: duplicate keys": _twice("ev", "event_id"), "contests: duplicate keys": _twice("slated", "contest_id"), "stats: duplicate keys": _twice("stats", "contest_id, entity_id"),
+    "entities: duplicate keys": _twice("entity", "entity_id"),
+    **{name: f"(SELECT count(*) FROM j WHERE {condition})" for name, condition in {
+        "contests with 0 stat rows": "n = 0", "contests with 1 or more than 2 stat rows": "n = 1 OR n > 2", "contests whose event is not in events": "ev_date IS NULL",
+        "contests.event_date != events.event_date": "ev_date IS DISTINCT FROM event_date", "contest entity ids not in entities": "a IS NULL OR b IS NULL",
+        "win: winner_id not one of the two entities": "result = 'win' AND (winner_id IS NULL OR winner_id NOT IN (entity_1_id, entity_2_id))",
+        "draw/nc with a winner_id": "result <> 'win' AND winner_id IS NOT NULL", "result not in win/draw/nc": "result IS NULL OR result NOT IN ('win', 'draw', 'nc')"}.items()},
+    **{name: f"(SELECT count(*) FROM k WHERE {condition})" for name, condition in {
+        "stat rows whose entity is not in the contest": "one IS NULL OR entity_id NOT IN (one, two)", "stat rows whose contest is not in contests": "one IS NULL", "landed > attempted": "landed > attempted",
+        "td_landed > td_attempted": "td_landed > td_attempted", "ctrl_sec > duration_sec": "ctrl_sec > duration_sec"}.items()},
+    "events dated in the future": f"(SELECT count(*) FROM ev WHERE NOT {_PLACED})", "events with no contests": "(SELECT count(*) FROM ev WHERE event_id NOT IN (SELECT event_id FROM slated))"}
+
+
+@query("quality_checks_raw_all", sql("""WITH ev AS (SELECT event_id, min(event_date) AS event_date FROM slated WHERE NOT is_prior GROUP BY 1),
+  j AS (SELECT c.*, coalesce(s.n, 0) AS n, ev.event_date AS ev_date, a.entity_id AS a, b.entity_id AS b FROM slated c LEFT JOIN (SELECT contest_id, count(*) AS n FROM stats GROUP BY 1) s ON s.contest_id = c.contest_id
+    LEFT JOIN ev ON ev.event_id = c.event_id LEFT JOIN entity a ON a.entity_id = entity_1_id LEFT JOIN entity b ON b.entity_id = entity_2_id),
+  k AS (SELECT s.*, c.entity_1_id AS one, c.entity_2_id AS two FROM stats s LEFT JOIN slated c ON c.contest_id = s.contest_id) """
+  + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", {count} AS violations" for name, count in _RAW_SQL.items()), "slated", "stats", "entity"))
 def _(spark, d):
     return _raw_counts(spark, d)
 
