@@ -5,16 +5,20 @@ feature domain is cut into partitions; at most k of them differ between the two
 partitions agrees. Sizes are banded by powers of two; a set signs in its own band and, if a smaller
 partner may live there, in the band below. Partitions are put in one order for all sets: ordinary
 ones first, then one partition for each of the most frequent shingles, rarest first. A set needs only
-its first k + r nonempty partitions; its signatures are the r-subsets of them (r = 2 in bands of
-short sets, else 1). Two sets with enough nonempty partitions and at most k differing ones share such
-a subset; sets with fewer nonempty ones share a signature of their own. So no link is lost, whatever
-the hash values are; candidates are verified on the sets.
+its first k + r nonempty partitions; its signatures are the r-subsets of them (r = 2 for sets below 32
+elements, whose partitions are single elements, else r = 1). Two sets with enough nonempty partitions
+and at most k differing ones share such a subset; sets with fewer nonempty ones, which needs equal
+32-bit hashes or a freak of them, share a signature of their own. Where k is 0 only equal sets are similar, and
+those are one node: they need no signature. So no link is lost, whatever the hash values are; candidates are
+verified on the sets.
 
 Copies are one node. A signature's nodes are tested against its first node, the one that is in the
 largest groups; only pairs that these links leave in different components are tested further: a group
-of n copies costs n tests. A pair is dropped early if the sizes differ too much or if a 1,024-bit map of
-the two sets differs in more than k bits, which no similar sets do. Signatures made of very frequent
-shingles are salted.
+of n copies costs n tests. A pair is dropped early if the sizes differ too much or if the odd sketches of
+the two sets (1,024 bits, each the parity of the elements that fall on it) differ in more than k bits, which
+no similar sets do: a differing element flips one bit. Sets that share many signatures are tested once, where
+their lowest shared one is known: every node carries its lowest signatures. Signatures made of very
+frequent shingles are salted.
 
 Nulls and texts without words have an empty set and link with nothing; rows without doc_id are kept
 with a null component; repeated rows are copies; an empty table gives an empty result.
@@ -41,8 +45,12 @@ FREQUENT = 1 << 16
 UNIT, UNIT_COUNT = 1 << 20, 3
 #: Nodes of a signature that may meet in one group; beyond it, signatures are salted.
 HOT = 20_000
-#: 64-bit words of a set's bit map.
+#: 64-bit words of a set's odd sketch.
 MAP = 16
+#: Lowest signatures that a node carries, by which most of a pair's repeated meetings are left out.
+LOW = 8
+#: Bands of sets below twice this size sign with pairs of single elements.
+SHORT = 16
 #: Candidate documents whose ids may be sent to all tasks (8 bytes each); beyond it they are joined.
 SENT_IDS = 1 << 20
 
@@ -110,10 +118,12 @@ def signatures(values: np.ndarray, frequent: np.ndarray, rank: np.ndarray, seen:
     if home and -(-percent * s // 100) <= (1 << home) - 1:
         bands.append((home - 1, limit(s, (1 << home) - 1, percent)))
     for band, k in bands:
+        if not k:       # only equal sets
+            continue
         x = 1 << band
-        n = x if x >= 64 else 4 * x
-        r = 2 if x <= 4 else 1
-        where = np.concatenate(((((plain >> U(32)) * U(n)) >> U(32)).astype(np.int64), n + rank[common] if len(common) else np.empty(0, dtype=np.int64)))
+        n = 1 << 32 if x <= SHORT else x if x >= 64 else 4 * x
+        r = 2 if x <= SHORT else 1
+        where = np.concatenate(((((plain >> U(32)) * U(n & 0xFFFFFFFF)) >> U(32) if n < 1 << 32 else plain >> U(32)).astype(np.int64), n + rank[common] if len(common) else np.empty(0, dtype=np.int64)))
         first = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1))
         sparse = len(first) < k + r
         stop = len(where) if len(first) <= k + r else int(first[k + r])
@@ -161,14 +171,14 @@ def _sign(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray, seen
     return run
 
 
-def bit_map(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * MAP, dtype=np.uint8)
-    bits[(mix(values) % U(64 * MAP)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements on each bit: the sketches of two sets differ in at most as many bits as the sets in elements."""
+    on = np.bincount((mix(values) % U(64 * MAP)).astype(np.int64), minlength=64 * MAP)
+    return np.packbits((on & 1).astype(np.uint8)).view(np.int64)
 
 
 def _sets_of(width: int, wanted, whole: bool):
-    """Rows (node, n, items) of sets if `whole`, else (node, n, bits) of their bit maps."""
+    """Rows (node, n, items) of sets if `whole`, else (node, n, bits) of their odd sketches."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("items" if whole else "bits", pa.list_(pa.int64()))])
 
     def table(nodes, sizes, held):
@@ -185,7 +195,7 @@ def _sets_of(width: int, wanted, whole: bool):
             for _, values in _row_sets(batch, width):
                 nodes.append(node_of(values))
                 sizes.append(len(values))
-                held.append(values.view(np.int64) if whole else bit_map(values))
+                held.append(values.view(np.int64) if whole else odd_sketch(values))
                 size += len(held[-1])
                 if size > 1 << 18:
                     yield table(nodes, sizes, held)
@@ -247,19 +257,19 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     wanted = cut_lineage(wanted, "wanted")
 
     def of_nodes(asked: DataFrame, whole: bool) -> DataFrame:
-        """The sets or bit maps of `asked(node, rep)`, computed from the texts of the representatives."""
+        """The sets or odd sketches of `asked(node, rep)`, computed from the texts of the representatives."""
         kind = "node long, n int, " + ("items array<long>" if whole else "bits array<long>")
         if (n := asked.count()) <= SENT_IDS:
             ids = np.unique(np.array([r.rep for r in asked.select("rep").collect()], dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
             found = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(ids), whole), kind)
         else:
             found = docs.join(asked.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets_of(width, None, whole), kind)
-        return cut_lineage(found.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "items" if whole else "maps")
+        return cut_lineage(found.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "items" if whole else "sketches")
 
-    maps = of_nodes(wanted, False)
+    sketches = of_nodes(wanted, False)
 
     def near(a: str, b: str) -> Column:
-        """What similar sets fulfil, by their sizes and bit maps."""
+        """What similar sets fulfil, by their sizes and sketches."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         differ = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(MAP)), F.lit(0))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
@@ -274,7 +284,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     salted = shared.filter("salt > 0 and rank = 1").select("sig", "node", F.min("node").over(W.partitionBy("sig")).alias("first"))
     pairs = shared.select(F.col("first").alias("u"), F.col("node").alias("v")).union(salted.select(F.col("first").alias("u"), F.col("node").alias("v"))).filter("u <> v").distinct()
-    pairs = (pairs.join(maps.select(F.col("node").alias("v"), F.struct("n", "bits").alias("y")), "v").join(maps.select(F.col("node").alias("u"), F.struct("n", "bits").alias("x")), "u")
+    pairs = (pairs.join(sketches.select(F.col("node").alias("v"), F.struct("n", "bits").alias("y")), "v").join(sketches.select(F.col("node").alias("u"), F.struct("n", "bits").alias("x")), "u")
              .filter(near("x", "y")).select("u", "v"))
     links = cut_lineage(verified(cut_lineage(pairs, "pairs")), "links")
     roots = cut_lineage(connected(links), "roots")
@@ -282,10 +292,13 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     open_sigs = cut_lineage(placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.max("salt").alias("salts"))
                             .filter("lo < hi and (k > 2 or salts > 0)").select("sig"), "open")
     if not open_sigs.isEmpty():
-        rest = cut_lineage(placed.join(open_sigs, "sig").filter("rank > 1 or salt > 0").join(maps, "node")
-                           .select("sig", F.struct("node", "salt", "rank", "root", "n", "bits").alias("x")), "rest")
+        met = cut_lineage(placed.join(open_sigs, "sig").filter("rank > 1 or salt > 0"), "open_met")
+        low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LOW).alias("low"))
+        carried = cut_lineage(low.join(sketches, "node"), "carried")
+        rest = met.join(carried, "node").select("sig", F.struct("node", "salt", "rank", "root", "n", "bits", "low").alias("x"))
         order = F.when(F.col("x.salt") == F.col("y.salt"), (F.col("x.rank") < F.col("y.rank")) & (F.col("x.rank") > 1)).otherwise(F.col("x.salt") < F.col("y.salt"))
-        pairs = (rest.join(rest.withColumnRenamed("x", "y"), "sig").filter((F.col("x.root") != F.col("y.root")) & order & near("x", "y"))
+        lowest = F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")), F.col("sig"))       # below `sig`, the pair meets there
+        pairs = (rest.join(rest.withColumnRenamed("x", "y"), "sig").filter((F.col("x.root") != F.col("y.root")) & order & near("x", "y") & (lowest >= F.col("sig")))
                  .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct())
         links = links.union(cut_lineage(verified(cut_lineage(pairs, "pairs")), "links"))
         roots = cut_lineage(connected(links), "roots")

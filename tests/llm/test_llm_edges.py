@@ -51,7 +51,38 @@ def test_signatures_of_similar_sets_meet():
             frequent = np.sort(draw.choice(a, size // 3, replace=False)) if size > 3 else few
             rank, seen = np.arange(len(frequent)), np.full(len(frequent), 9, dtype=np.int64)
             x, y = ({int(s) for sig, _ in jaccard_join.signatures(np.unique(v), frequent, rank, seen, 75) for s in sig} for v in (a, b))
-            assert x & y and len(no) == 0
+            assert x & y or np.array_equal(np.unique(a), np.unique(b)) and len(no) == 0
+            differ = len(np.setxor1d(a, b))
+            bits = int(np.bitwise_count((jaccard_join.odd_sketch(np.unique(a)) ^ jaccard_join.odd_sketch(np.unique(b))).view(np.uint64)).sum())
+            assert bits <= differ and (differ > 40 or bits >= differ // 2)
+
+
+def test_sets_similar_to_equal_ones_only_sign_nothing():
+    import numpy as np
+    no = np.empty(0, dtype=np.int64)
+    for size, signs in ((1, False), (2, False), (3, True), (9, True)):
+        found = list(jaccard_join.signatures(np.arange(1, size + 1, dtype=np.uint64) << np.uint64(40), np.empty(0, dtype=np.uint64), no, no, 75))
+        assert bool(found) == signs
+
+
+def test_near_copies_that_do_not_link(spark):
+    """A cluster of heavily edited copies: most of its members are similar to none, some to a few, and all share signatures."""
+    import random
+
+    from .brute import components
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for at in draw.sample(range(120), draw.randint(2, 9)):
+            words[at] = f"e{draw.randrange(400)}"
+        texts.append(" ".join(words))
+    texts += ["one", "two words", "one", "three short words", "a b c d e f g", "a b c d e f h", "a b c d e f g x"] + [f"short{i}" for i in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == components(dict(docs))
+    assert 80 < len({c for _, c in got.values()}) < len(docs) - 20
 
 
 def test_line_dedup(docs, none):
