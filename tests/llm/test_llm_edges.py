@@ -148,6 +148,21 @@ def test_mixed_disguises():
         assert personal_data.find(text) == (personal_data.detect(text), []), text
 
 
+def test_detectors_equal_the_plain_patterns():
+    import random
+    import time
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choice("a1.@-_ 29") for _ in range(draw.randint(0, 30)))
+        found = personal_data.detect(text)
+        assert [s[1:] for s in found if s[0] == "email"] == [m.span() for m in personal_data.EMAIL.finditer(text)], text
+        assert [m.span() for m in personal_data._IP_RUNS.finditer(text)] == [m.span() for m in personal_data.IP.finditer(text)], text
+    for text in ("1" * 1_000_000 + ".", "a" * 1_000_000 + "@", "1." * 500_000 + "x", "a@" * 500_000, "+1(" * 300_000, "a at " + "1." * 400_000):
+        begun = time.time()
+        personal_data.find(text)
+        assert time.time() - begun < 10, text[:8]
+
+
 def test_exit_misses_nothing():
     """A text that the exit takes for plain has no hidden span and is not rewritten."""
     import random
