@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -54,19 +55,31 @@ def _element(html: Column, cls: str) -> Column:
     tokens = F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+"), F.lit(0))
     opening = rf'^<[a-z0-9]+\b[^>]*\bclass="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"'
 
-    def cut(tokens: Column) -> Column:
-        start = F.array_position(F.transform(tokens, lambda t: t.rlike(opening)), True).cast("int")
-        name = F.regexp_extract(F.get(tokens, start - 1), "^<([a-z0-9]+)", 1)
-        rest = F.slice(tokens, F.greatest(start, F.lit(1)), F.size(tokens))
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """`body` of a value that is computed once, however often it is named there."""
+        return F.get(F.transform(F.array(value), body), 0)
+
+    def fold(rest: Column, name: Column) -> Column:
+        opens, closes = F.concat(F.lit("<"), name), F.concat(F.lit("</"), name)
 
-        def step(state: Column, token: Column) -> Column:
+        def change(token: Column) -> Column:
             tag = F.regexp_extract(token, "^(</?[a-z0-9]+)", 1)
-            depth = state["depth"] + F.when((tag == F.concat(F.lit("<"), name)) & ~token.endswith("/>"), 1).when(tag == F.concat(F.lit("</"), name), -1).otherwise(0)
-            return F.when(state["depth"] == 0, state).otherwise(F.struct(depth.cast("int").alias("depth"), (state["size"] + 1).alias("size")))
+            return F.when(token.startswith(opens) & (tag == opens) & ~token.endswith("/>"), 1).when(token.startswith(closes) & (tag == closes), -1).otherwise(0)
+
+        def step(state: Column, by: Column) -> Column:
+            return F.when(state["depth"] == 0, state).otherwise(F.struct((state["depth"] + by).alias("depth"), (state["size"] + 1).alias("size")))
         first = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("size"))
-        size = F.aggregate(F.slice(rest, F.lit(2), F.size(rest)), first, step, lambda s: s["size"])
-        return F.when(start > 0, F.array_join(F.slice(rest, F.lit(1), size), "")).otherwise("")
-    return F.get(F.transform(F.array(tokens), cut), 0)
+        size = F.aggregate(F.transform(F.slice(rest, F.lit(2), F.size(rest)), change), first, step, lambda s: s["size"])
+        return F.array_join(F.slice(rest, F.lit(1), size), "")
+
+    def cut(tokens: Column, start: Column) -> Column:
+        name = F.regexp_extract(F.get(tokens, start - 1), "^<([a-z0-9]+)", 1)
+        found = bound(F.struct(F.slice(tokens, start, F.size(tokens)).alias("rest"), name.alias("name")), lambda x: fold(x["rest"], x["name"]))
+        return F.when(start > 0, found).otherwise("")
+
+    def place(tokens: Column) -> Column:
+        return F.array_position(F.transform(tokens, lambda t: t.contains(cls) & t.rlike(opening)), True).cast("int")
+    return bound(tokens, lambda t: bound(place(t), lambda start: cut(t, start)))
 
 
 def listing_events(pages: DataFrame, layout: ListingLayout = ListingLayout(), base: str = "") -> DataFrame:
@@ -105,7 +118,9 @@ def event_bouts(pages: DataFrame, layout: ListingLayout = ListingLayout()) -> Da
     bouts = parts.select("page_id", names.alias("segment"), F.coalesce(rank, F.lit(-1)).alias("srank"), F.posexplode(_blocks(F.col("part"), layout.bout)).alias("pos", "b"))
     a, b = (F.nullif(inner_text(_element(F.col("b"), c)), F.lit("")) for c in layout.corners)
     text = inner_text(_element(F.col("b"), layout.division))
-    rows = bouts.select("page_id", "segment", "srank", "pos", a.alias("name_1"), b.alias("name_2"), text.alias("division_text")).filter("name_1 is not null and name_2 is not null")
+    # A filter on plain columns would be pushed below them and cut every element a second time; it can't pass a generator.
+    cells = F.explode_outer(F.array(F.struct(a.alias("name_1"), b.alias("name_2"), text.alias("division_text")))).alias("cells")
+    rows = bouts.select("page_id", "segment", "srank", "pos", cells).filter("cells.name_1 is not null and cells.name_2 is not null").select("page_id", "segment", "srank", "pos", "cells.*")
     # A page is one slate, numbered inside the page.
     w = W.partitionBy("page_id").orderBy("srank", "pos")
     title = F.lower("division_text").rlike("title|championship")
