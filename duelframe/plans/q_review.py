@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import review as R
 from ..operators import track as T
+from ..session import cut_lineage
 from . import views as V
 from .oracle import r6 as q6, sql
 from .q_history import _wilson
@@ -13,12 +14,14 @@ from .registry import query
 from .views import r6
 
 
-def _matched(spark, d):
-    return T.match_predictions(V.predictions(spark, d), V.contests(spark, d, False))
+def _matched(spark, d, stored=None):
+    c = V.stored_contests(spark, d, with_stats=False) if stored is None else stored
+    return T.match_predictions(V.predictions(spark, d, c), c)
 
 
 def _log(spark, d):
-    return T.log_rows(_matched(spark, d), V.contests(spark, d, False), "2024-01-01")
+    c = V.stored_contests(spark, d, with_stats=False)
+    return T.log_rows(_matched(spark, d, c), c, "2024-01-01")
 
 
 @query("prediction_result_match", sql("SELECT pred_id, contest_id, status FROM matched", "matched"))
@@ -65,8 +68,8 @@ def _(spark, d):
   CASE WHEN c.result = 'win' AND actual_winner <> pick THEN CASE WHEN confidence < 0.55 THEN 'coin flip' WHEN confidence < 0.65 THEN 'lean' ELSE 'clear favourite' END END AS surprise,
   CASE WHEN pick = name_1 THEN 'Win rate|Age' ELSE '' END AS pick_factors FROM logged l JOIN contest c USING (contest_id)""", "logged", "contest"))
 def _(spark, d):
-    m = _matched(spark, d)
-    c = V.contests(spark, d, False)
+    c = V.stored_contests(spark, d, with_stats=False)
+    m = cut_lineage(_matched(spark, d, c), "matched")
     log = T.log_rows(m, c, "2024-01-01")
     return R.review_records(log, c, m).select("contest_id", "newcomer", "division", "finish_group", "scheduled_rounds", "surprise", F.array_join("pick_factors", "|").alias("pick_factors"))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.parse import canonical_division, nearest_year_date
+from ..functions.parse import bound, canonical_division, nearest_year_date, with_parsed
 
 _LINK = r'(<a\b[^>]*\bhref="[^"]*"[^>]*>[^<]*</a>)'
 
@@ -55,10 +54,6 @@ def _element(html: Column, cls: str) -> Column:
     tokens = F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+"), F.lit(0))
     opening = rf'^<[a-z0-9]+\b[^>]*\bclass="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"'
 
-    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-        """`body` of a value that is computed once, however often it is named there."""
-        return F.get(F.transform(F.array(value), body), 0)
-
     def fold(rest: Column, name: Column) -> Column:
         opens, closes = F.concat(F.lit("<"), name), F.concat(F.lit("</"), name)
 
@@ -118,9 +113,7 @@ def event_bouts(pages: DataFrame, layout: ListingLayout = ListingLayout()) -> Da
     bouts = parts.select("page_id", names.alias("segment"), F.coalesce(rank, F.lit(-1)).alias("srank"), F.posexplode(_blocks(F.col("part"), layout.bout)).alias("pos", "b"))
     a, b = (F.nullif(inner_text(_element(F.col("b"), c)), F.lit("")) for c in layout.corners)
     text = inner_text(_element(F.col("b"), layout.division))
-    # A filter on plain columns would be pushed below them and cut every element a second time; it can't pass a generator.
-    cells = F.explode_outer(F.array(F.struct(a.alias("name_1"), b.alias("name_2"), text.alias("division_text")))).alias("cells")
-    rows = bouts.select("page_id", "segment", "srank", "pos", cells).filter("cells.name_1 is not null and cells.name_2 is not null").select("page_id", "segment", "srank", "pos", "cells.*")
+    rows = with_parsed(bouts, {"name_1": a, "name_2": b, "division_text": text}).drop("b").filter("name_1 is not null and name_2 is not null")
     # A page is one slate, numbered inside the page.
     w = W.partitionBy("page_id").orderBy("srank", "pos")
     title = F.lower("division_text").rlike("title|championship")

@@ -92,3 +92,13 @@ def test_append_derives_new_rows_once(spark, tmp_path):
     B.append(path, spark.createDataFrame([(i, "a") for i in range(50)], kind), ["k"], ["v"])
     new = spark.createDataFrame([(i, "b") for i in range(40, 90)], kind).coalesce(1).mapInArrow(counted, kind)
     assert B.append(path, new, ["k"], ["v"])["added"] == 40 and scans.value == 1
+
+
+def test_ids_of_sources_are_parsed_once(spark):
+    """The filter on a parsed id stays above the parsing; pushed below, it was computed again at every scan and join."""
+    from duelframe.operators import ingest as I
+    rows = [(1, "Slate a", "http://x.example/event-details/0a1-z", "May 5, 2000", ""), (2, "Slate b", "http://x.example/other/0a1", "May 5, 2000", "Hall"),
+            (3, "Slate c", None, "May 5, 2000", None), (4, "Slate d", "http://x.example/event-details/fight-details/b/", "Jun. 1, 2001", "Hall"), (5, "Slate e", "event-details", "May 5, 2000", "")]
+    e = I.build_events(spark.createDataFrame(rows, "row_no int, event string, url string, date string, location string"), "2001-06-30", "now")
+    assert sorted((r.row_no, r.event_id, str(r.event_date), r.location) for r in e.collect()) == [(1, "0a1", "2000-05-05", None), (4, "b", "2001-06-01", "Hall")]
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
