@@ -16,7 +16,8 @@ from .views import r6
 
 def _matched(spark, d, stored=None):
     c = V.stored_contests(spark, d, with_stats=False) if stored is None else stored
-    return T.match_predictions(V.predictions(spark, d, c), c)
+    # matching reads the predictions three times: the records behind them are joined once
+    return T.match_predictions(cut_lineage(V.predictions(spark, d, c), "predictions"), c)
 
 
 def _log(spark, d):
