@@ -16,9 +16,10 @@ Copies are one node. A signature's nodes are tested against its first node, the
 largest groups; only pairs that these links leave in different components are tested further: a group
 of n copies costs n tests. A pair is dropped early if the sizes differ too much or if the odd sketches of
 the two sets (1,024 bits, each the parity of the elements that fall on it) differ in more than k bits, which
-no similar sets do: a differing element flips one bit. Sets that share many signatures are tested once, where
-their lowest shared one is known: every node carries its lowest signatures. Signatures made of very
-frequent shingles are salted.
+no similar sets do: a differing element flips one bit. What passes is tested likewise on sketches of two to four bits
+an element, which large sets don't fill; only the rest is compared on the sets. Signatures with the same nodes are one
+group: near copies share most of theirs. Sets that share many groups are tested once, where their lowest shared one is
+known: every node carries its lowest groups. Signatures made of very frequent shingles are salted.
 
 Nulls and texts without words have an empty set and link with nothing; rows without doc_id are kept
 with a null component; repeated rows are copies; an empty table gives an empty result.
@@ -171,18 +172,41 @@ def _sign(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray, seen
     return run
 
 
-def odd_sketch(values: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements on each bit: the sketches of two sets differ in at most as many bits as the sets in elements."""
-    on = np.bincount((mix(values) % U(64 * MAP)).astype(np.int64), minlength=64 * MAP)
+def odd_sketch(values: np.ndarray, words: int = MAP) -> np.ndarray:
+    """Parity of the number of elements on each bit: the sketches of two sets differ in at most as many bits as the sets in elements.
+    A sketch of half the words is the exclusive or of the two halves."""
+    on = np.bincount((mix(values) % U(64 * words)).astype(np.int64), minlength=64 * words)
     return np.packbits((on & 1).astype(np.uint8)).view(np.int64)
 
 
+def fine_words(n: int) -> int:
+    """Words, a power of two, of the sketch that has at least two bits for each of n elements."""
+    return max(MAP, 1 << (-(-2 * n // 64) - 1).bit_length())
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the length of the shorter."""
+    size = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        parts = F.sequence(F.lit(0), (F.size(x) / size).cast("int") - 1)
+        return F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), size), lambda held, k: F.zip_with(held, F.slice(x, k * size + 1, size), lambda p, q: p.bitwiseXOR(q)))
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + x)
+
+
 def _sets_of(width: int, wanted, whole: bool):
-    """Rows (node, n, items) of sets if `whole`, else (node, n, bits) of their odd sketches."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("items" if whole else "bits", pa.list_(pa.int64()))])
+    """Rows (node, n, items) of sets if `whole`, else (node, n, bits, fine) of their odd sketches; no finer one is made where it has the same length."""
+    lists = ["items"] if whole else ["bits", "fine"]
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), *((x, pa.list_(pa.int64())) for x in lists)])
 
     def table(nodes, sizes, held):
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(held, pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in zip(*held))], schema=schema)
+
+    def described(values):
+        if whole:
+            return (values.view(np.int64),)
+        words = fine_words(len(values))
+        return odd_sketch(values), odd_sketch(values, words) if words > MAP else np.empty(0, dtype=np.int64)
 
     def run(batches):
         ids = wanted.value if wanted is not None else None
@@ -195,8 +219,8 @@ def _sets_of(width: int, wanted, whole: bool):
             for _, values in _row_sets(batch, width):
                 nodes.append(node_of(values))
                 sizes.append(len(values))
-                held.append(values.view(np.int64) if whole else odd_sketch(values))
-                size += len(held[-1])
+                held.append(described(values))
+                size += sum(map(len, held[-1]))
                 if size > 1 << 18:
                     yield table(nodes, sizes, held)
                     nodes, sizes, held, size = [], [], [], 0
@@ -246,7 +270,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     group = W.partitionBy("sig", "salt")
     met = (signed.withColumn("last", F.max("node").over(group)).withColumn("first", F.min("node").over(group)).withColumn("size", F.count(F.lit(1)).over(group))
            .filter("first < last or salt > 0").select("sig", "salt", "node", "size").distinct())
-    met = cut_lineage(met, "met")
+    # unsalted signatures with the same nodes become one, named by its nodes
+    members = F.when(F.col("salt") == 0, F.xxhash64(F.bit_xor(F.xxhash64("node")).over(group), F.count(F.lit(1)).over(group))).otherwise(F.col("sig"))
+    met = cut_lineage(met.withColumn("members", members).groupBy(F.col("members").alias("sig"), "salt", "node").agg(F.sum("size").alias("size")), "met")
     # a text from which many others were made is in most of its groups, and those are large: it goes first
     weights = cut_lineage(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     order = group.orderBy(F.desc("weight"), "node")
@@ -258,7 +284,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     def of_nodes(asked: DataFrame, whole: bool) -> DataFrame:
         """The sets or odd sketches of `asked(node, rep)`, computed from the texts of the representatives."""
-        kind = "node long, n int, " + ("items array<long>" if whole else "bits array<long>")
+        kind = "node long, n int, " + ("items array<long>" if whole else "bits array<long>, fine array<long>")
         if (n := asked.count()) <= SENT_IDS:
             ids = np.unique(np.array([r.rep for r in asked.select("rep").collect()], dtype=np.int64)) if n else np.empty(0, dtype=np.int64)
             found = docs.mapInArrow(_sets_of(width, spark.sparkContext.broadcast(ids), whole), kind)
@@ -274,6 +300,13 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         differ = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(MAP)), F.lit(0))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
+    def near_finely(pairs: DataFrame) -> DataFrame:
+        """The pairs that stay possible by their finer sketches."""
+        fine = sketches.select("node", F.struct("n", F.when(F.size("fine") > 0, F.col("fine")).otherwise(F.col("bits")).alias("bits")).alias("s"))
+        both = (pairs.join(fine.select(F.col("node").alias("v"), F.col("s").alias("y")), "v")
+                .join(fine.select(F.col("node").alias("u"), F.col("s").alias("x")), "u"))
+        return both.filter(differing(F.col("x.bits"), F.col("y.bits")) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)).select("u", "v")
+
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         sets = of_nodes(cut_lineage(wanted.join(named, "node"), "asked"), True)
@@ -286,7 +319,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     pairs = shared.select(F.col("first").alias("u"), F.col("node").alias("v")).union(salted.select(F.col("first").alias("u"), F.col("node").alias("v"))).filter("u <> v").distinct()
     pairs = (pairs.join(sketches.select(F.col("node").alias("v"), F.struct("n", "bits").alias("y")), "v").join(sketches.select(F.col("node").alias("u"), F.struct("n", "bits").alias("x")), "u")
              .filter(near("x", "y")).select("u", "v"))
-    links = cut_lineage(verified(cut_lineage(pairs, "pairs")), "links")
+    links = cut_lineage(verified(cut_lineage(near_finely(cut_lineage(pairs, "possible")), "pairs")), "links")
     roots = cut_lineage(connected(links), "roots")
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_sigs = cut_lineage(placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.max("salt").alias("salts"))
@@ -294,13 +327,13 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     if not open_sigs.isEmpty():
         met = cut_lineage(placed.join(open_sigs, "sig").filter("rank > 1 or salt > 0"), "open_met")
         low = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LOW).alias("low"))
-        carried = cut_lineage(low.join(sketches, "node"), "carried")
+        carried = cut_lineage(low.join(sketches.drop("fine"), "node"), "carried")
         rest = met.join(carried, "node").select("sig", F.struct("node", "salt", "rank", "root", "n", "bits", "low").alias("x"))
         order = F.when(F.col("x.salt") == F.col("y.salt"), (F.col("x.rank") < F.col("y.rank")) & (F.col("x.rank") > 1)).otherwise(F.col("x.salt") < F.col("y.salt"))
         lowest = F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")), F.col("sig"))       # below `sig`, the pair meets there
         pairs = (rest.join(rest.withColumnRenamed("x", "y"), "sig").filter((F.col("x.root") != F.col("y.root")) & order & near("x", "y") & (lowest >= F.col("sig")))
                  .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct())
-        links = links.union(cut_lineage(verified(cut_lineage(pairs, "pairs")), "links"))
+        links = links.union(cut_lineage(verified(cut_lineage(near_finely(cut_lineage(pairs, "possible")), "pairs")), "links"))
         roots = cut_lineage(connected(links), "roots")
 
     least = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
