@@ -9,7 +9,8 @@ class, and a token's sort key is (class, hash), the same for all lines. Similar
 first n - ceil(0.75 n) + 1 tokens. Classes that share such a token meet in its group: every class
 is tested against the first class of the group, and those that stay are then tested against all earlier
 classes of their groups. The length filter and the positional filter (what can still be common after
-the shared token) act before sets are compared; sets are compared on the lines themselves.
+the shared token) act before sets are compared, then an odd sketch of each set (256 bits, each the parity of the tokens
+that fall on it: similar sets differ in no more bits than tokens); sets are compared on the lines themselves.
 
 Everything runs on built-in expressions. Texts that are null or have no line with words stay as they are; lines without
 words are never removed; rows without doc_id stay unchanged; rows of equal doc_id and text are one
@@ -27,6 +28,8 @@ from .native_text import let, shingle_hashes, shingles, word_hashes
 
 #: Cells of the count sketch that orders tokens.
 CELLS = 1 << 14
+#: 64-bit words of a set's odd sketch, a power of two.
+SKETCH = 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -54,6 +57,14 @@ def _ranked(tokens: Column, classes: list[int]) -> Column:
     return F.sort_array(F.transform(tokens, lambda t: F.get(high, _cell(t)).bitwiseOR(F.shiftrightunsigned(t, 16))))
 
 
+def odd_sketch(tokens: Column) -> Column:
+    """Parity of the number of distinct tokens on each bit."""
+    def word(j: int) -> Column:
+        return F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(SKETCH - 1) == j), F.lit(0).cast("long"),
+                           lambda held, t: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, SKETCH.bit_length() - 1).bitwiseAND(63).cast("int"))))
+    return F.array(*[word(j) for j in range(SKETCH)])
+
+
 def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, row, pos) of the lines that an earlier line matches."""
     hashed = lines_of(docs).select("doc_id", "row", "pos", word_hashes(F.col("line")).alias("h")).filter("size(h) > 0")
@@ -90,9 +101,16 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     texts = (_known(docs).join(places, ["doc_id", "row"])
              .select(F.explode(let(F.split("text", "\n"), lambda ls: F.transform(F.col("at"), lambda p: F.struct(p["node"].alias("node"), F.get(ls, p["pos"]).alias("line"))))).alias("a"))
              .select("a.node", F.array_distinct(shingle_hashes(F.col("a.line"), width)).alias("t")))
-    sets = cut_lineage(texts.dropDuplicates(["node"]), "items")
+    sets = cut_lineage(texts.dropDuplicates(["node"]).select("node", F.size("t").alias("n"), odd_sketch(F.col("t")).alias("bits"), "t"), "items")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs that stay possible by their sketches."""
+        both = (pairs.join(sets.select(F.col("node").alias("late"), F.struct("n", "bits").alias("y")), "late").join(sets.select(F.col("node").alias("early"), F.struct("n", "bits").alias("x")), "early"))
+        differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+        return both.filter(differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)).select("early", "late")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(near(pairs), "pairs")
         both = (pairs.join(sets.select(F.col("node").alias("late"), F.col("t").alias("b")), "late").join(sets.select(F.col("node").alias("early"), F.col("t").alias("a")), "early"))
         same = F.size(F.array_intersect("a", "b"))
         return both.filter(same * 100 >= (F.size("a") + F.size("b") - same) * percent).select(F.col("late").alias("node")).distinct()
